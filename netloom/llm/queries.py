@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from netloom.llm import bpe
+from netloom.llm import bpe, exact_dedup, media
 
 
 def queries() -> dict:
-    return {"op1_bpe": bpe.op1}
+    return {"op1_bpe": bpe.op1, "op3_png_media": media.op3, "op4_exact_dedup": exact_dedup.op4}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
