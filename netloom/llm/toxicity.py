@@ -1,8 +1,10 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are lower-case words. From a bounded sample of labelled documents (`EACH` toxic and as
+Terms are lower-case words (`word$`), their beginnings of 3 to 7 letters (`wor`: stems), and
+either at least 2, 3 or 5 times in a text (`wor#2`). From a bounded sample of labelled documents (`EACH` toxic and as
 many others, those with the least hash) the terms that toxic documents have significantly
-more often are taken (chi-squared over `CHI`, at most `TERMS`); they are weighted by
+more often are taken (chi-squared over `CHI`, at most `TERMS`, one of those that are in
+the same texts); they are weighted by
 (1 + ln tf) times idf, with document frequencies counted over all documents, and vectors
 have length 1. The labelled vectors form an inverted index in blocks of `BLOCK` neighbouring
 vectors, with each term's maximum in each block. A query bounds every block's cosines by its
@@ -34,32 +36,79 @@ from netloom.llm.common import chunks, documents
 from netloom.llm.langid import held_out
 
 EACH, FIT_CHARS = 1500, 50_000
-TERMS, CHI, LEAST_DF = 400, 24.0, 3
+TERMS, CHI, LEAST_DF, LIFT = 400, 24.0, 3, 3.0
+STEMS, LEVELS = (3, 4, 5, 6, 7), (2, 3, 5)
 BLOCK, NEAREST = 32, 15
 _WORDS = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
-    return _WORDS.findall(text.lower()) if text else []
+def features(text: str | None) -> Counter:
+    """All terms of a text, with their counts."""
+    out: Counter = Counter()
+    for w, n in Counter(_WORDS.findall(text.lower()) if text else ()).items():
+        out[w + "$"] += n
+        for k in STEMS:
+            if len(w) >= k:
+                out[w[:k]] += n
+    for t, n in list(out.items()):
+        for level in LEVELS:
+            if n >= level:
+                out[f"{t}#{level}"] = 1
+    return out
+
+
+class Terms:
+    """Counts chosen terms; words that start like none of them cost one look-up."""
+
+    def __init__(self, vocabulary: list[str]):
+        self.at = {t: i for i, t in enumerate(vocabulary)}
+        self.base = {t.partition("#")[0] for t in vocabulary}
+        self.heads = {t.removesuffix("$")[:3] for t in self.base}
+
+    def count(self, text: str | None) -> dict[str, int]:
+        heads, base, found = self.heads, self.base, Counter()
+        for w in _WORDS.findall(text.lower()) if text else ():
+            if w[:3] in heads:
+                if w + "$" in base:
+                    found[w + "$"] += 1
+                for k in STEMS:
+                    if w[:k] in base and len(w) >= k:
+                        found[w[:k]] += 1
+        out = {t: n for t, n in found.items() if t in self.at}
+        for t, n in found.items():
+            for level in LEVELS:
+                if n >= level and (x := f"{t}#{level}") in self.at:
+                    out[x] = 1
+        return out
 
 
 def choose(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list[str]:
-    """Terms that toxic texts have significantly more often."""
-    df = (Counter(), Counter())
+    """Terms that toxic texts have significantly more often, `LIFT` times at least."""
+    df: tuple[dict, Counter] = ({}, Counter())
+    for i, (t, y) in enumerate(zip(texts, toxic)):
+        if y:
+            for x in features(t):
+                df[0].setdefault(x, []).append(i)
     for t, y in zip(texts, toxic):
-        df[int(y)].update(set(terms(t)))
+        if not y:
+            df[1].update(features(t).keys() & df[0].keys())
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     scored = []
-    for w, a in df[1].items():
-        b = df[0][w]
-        if a < LEAST_DF or a * n0 <= b * n1:
+    for w, texts_with in df[0].items():
+        a, b = len(texts_with), df[1][w]
+        if a < LEAST_DF or a * (n0 + 2) < LIFT * (b + 1) * n1:
             continue
         c, d = n1 - a, n0 - b
         chi = (n0 + n1) * (a * d - b * c) ** 2 / max(1.0, float(n1) * n0 * (a + b) * (c + d))
         if chi >= CHI:
-            scored.append((-chi, w))
-    return [w for _, w in sorted(scored)[:most]]
+            scored.append((-chi, len(w), w, b))
+    out: dict = {}
+    for _, _, w, b in sorted(scored):
+        out.setdefault((tuple(df[0][w]), b), w)
+        if len(out) == most:
+            break
+    return list(out.values())
 
 
 class Index:
@@ -92,7 +141,7 @@ class Index:
 
 class Model:
     def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray, ids: list[int]):
-        self.at = {w: i for i, w in enumerate(vocabulary)}
+        self.terms = Terms(vocabulary)
         self.idf, self.ids = idf, np.array(ids, np.int64)
         self.weight, self.toxic = stands_for, toxic.astype(np.float64)
         bare = vectors.sum(1) == 0
@@ -105,13 +154,11 @@ class Model:
         self.a, self.b = self._calibrate(vectors[keep], keep)
 
     @staticmethod
-    def vector(at: dict[str, int], idf: np.ndarray, text: str | None) -> tuple[list[int], np.ndarray]:
-        counts = Counter(w for w in terms(text) if w in at)
-        columns = sorted(at[w] for w in counts)
-        inverse = {at[w]: c for w, c in counts.items()}
-        values = np.array([(1 + math.log(inverse[c])) * idf[c] for c in columns])
+    def vector(chosen: Terms, idf: np.ndarray, text: str | None) -> tuple[list[int], np.ndarray]:
+        found = sorted((chosen.at[t], n) for t, n in chosen.count(text).items())
+        values = np.array([(1 + math.log(n)) * idf[i] for i, n in found])
         n = np.sqrt((values**2).sum())
-        return columns, (values / n if n else values).astype(np.float32)
+        return [i for i, _ in found], (values / n if n else values).astype(np.float32)
 
     def _votes(self, columns: list[int], weights: np.ndarray, but: int = -1) -> tuple[float | None, np.ndarray]:
         near, cosines = self.index.nearest(columns, weights, but=but)
@@ -147,7 +194,7 @@ class Model:
         return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (a, b)
 
     def score(self, text: str | None, memo: dict) -> tuple[float, tuple[int, ...]]:
-        columns, weights = self.vector(self.at, self.idf, text)
+        columns, weights = self.vector(self.terms, self.idf, text)
         key = (tuple(columns), weights.tobytes())
         if key not in memo:
             if len(memo) > 50_000:
@@ -173,14 +220,14 @@ def examples(docs: DataFrame, labels: DataFrame, each: int = EACH, longest: int
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """How many documents there are, and in how many each term is."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, found, n = shared.value, Counter(), 0
+        chosen, found, n = Terms(shared.value), Counter(), 0
         for part in chunks(batches):
             for t in part.column(0).to_pylist():
                 n += 1
-                found.update(wanted.intersection(terms(t)))
+                found.update(chosen.count(t).keys())
         rows = [("", n), *found.items()]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["term", "n"])
 
@@ -197,10 +244,10 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model | float:
     vocabulary = choose([t for _, t, _ in rows], toxic)
     n, df = frequencies(docs, vocabulary)
     idf = np.array([math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary])
-    at = {w: i for i, w in enumerate(vocabulary)}
+    chosen = Terms(vocabulary)
     vectors = np.zeros((len(rows), len(vocabulary)), np.float32)
     for x, (_, t, _) in zip(vectors, rows):
-        columns, values = Model.vector(at, idf, t)
+        columns, values = Model.vector(chosen, idf, t)
         x[columns] = values
     taken = Counter(toxic.tolist())
     stands_for = np.array([counts[y] / taken[y] for y in toxic.tolist()])
