@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -71,6 +72,8 @@ def _inverse(cdf, p, lo, hi):
         mid = (lo + hi) / 2
         below = cdf(mid) < p
         lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        if np.all(hi - lo <= 1e-13 * np.maximum(1, np.abs(mid))):
+            break
     return (lo + hi) / 2
 
 
@@ -80,8 +83,17 @@ def norm_ppf(p):
     return np.where(p <= 0, -np.inf, np.where(p >= 1, np.inf, out))
 
 
+@lru_cache(1024)
+def _t_ppf(p: float, df: float) -> float:
+    return float(_t_ppf_array(np.asarray(p, float), df))
+
+
 def t_ppf(p, df):
-    p = np.asarray(p, float)
+    """Scalars are remembered: a study asks for few."""
+    return _t_ppf(float(p), float(df)) if np.ndim(p) == 0 and np.ndim(df) == 0 else _t_ppf_array(np.asarray(p, float), df)
+
+
+def _t_ppf_array(p, df):
     reach = 10.0
     while np.any(t_cdf(np.array(reach), df) < np.where(p < 1, np.maximum(p, 1 - p), 0)) and reach < 1e12:
         reach *= 10

@@ -176,7 +176,8 @@ def rich_club(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     ek = ks.join(e, "gid", "left").groupBy("gid", "k").agg(F.sum((F.col("least") > F.col("k")).cast("int")).alias("e_k"), F.sum(F.when(F.col("least") > F.col("k"), F.col("weight")).otherwise(0.0)).alias("w_k"))
     ranked = edges.select("gid", "weight", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("weight"))).alias("r"))
     prefix = ranked.select("gid", "r", F.sum("weight").over(Window.partitionBy("gid").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
-    out = n.join(ek, ["gid", "k"]).join(prefix, (n.gid == prefix.gid) & (F.col("e_k") == F.col("r")), "left").drop(prefix.gid)
+    prefix = prefix.select("gid", F.col("r").cast("bigint").alias("e_k"), "top")
+    out = n.join(ek, ["gid", "k"]).join(prefix, ["gid", "e_k"], "left")
     return out.select("gid", "k", "n_k", "e_k", F.when(F.col("n_k") > 1, F.try_divide(2.0 * F.col("e_k"), F.col("n_k") * (F.col("n_k") - 1))).alias("phi"), F.try_divide(F.col("w_k"), F.col("top")).alias("phi_wt"))
 
 

@@ -14,6 +14,7 @@ from netloom.operators import local as R
 from netloom.operators import matrices as X
 from netloom.operators import measures as M
 from netloom.plans import fixtures as T
+from netloom.streaming.edges import windowed_edges
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -820,3 +821,13 @@ def mediation_point(spark, sf):
     c["treat"] = (c.pop("grp") == "B").astype(float)
     out = G.mediation(T.strengths(spark, sf), c, "load", "treat", boot=False).where("effect = 'd_avg'")
     return rounded(out.select("region", F.col("estimate").alias("d_avg")))
+
+
+# events: users (in 20 blocks) linked to the event types they share a day with
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d 00:00') AS gid, least(user_id % 20, user_id % 7) AS src, greatest(user_id % 20, user_id % 7) AS dst, round(sum(round(value * 100)::BIGINT) / 100.0::DOUBLE, 2) AS weight, count(*) AS n FROM events WHERE user_id % 20 <> user_id % 7 GROUP BY ALL")
+def event_edges(spark, sf):
+    e = T.read(spark, sf, "events").select("ts", (F.col("user_id") % 20).alias("a"), (F.col("user_id") % 7).alias("b"), F.round(F.col("value") * 100).cast("bigint").alias("cents"))
+    out = windowed_edges(e, "ts", "a", "b", "cents")
+    return out.select("gid", "src", "dst", F.round(F.col("weight") / 100.0, 2).alias("weight"), "n")
