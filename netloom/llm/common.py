@@ -62,3 +62,12 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3
 def content_key(*cols) -> F.Column:
     """Two independent 64-bit hashes as one struct: 128 bits in the JVM, no Python."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(0x9E3779B9), *cols[::-1]).alias("b"))
+
+
+def packed(df: DataFrame) -> F.Column:
+    """All columns as one struct, so that no working column clashes with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def unpacked(df: DataFrame, columns: list[str], struct: str = "doc") -> list[F.Column]:
+    return [F.col(struct).getField(c).alias(c) for c in columns]

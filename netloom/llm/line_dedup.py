@@ -13,7 +13,7 @@ near-duplicate detection to judge.
 
 A null source is a site of its own; a null text has no lines and stays null; an empty text
 stays empty; a row's result depends on its text alone, so repeated rows get the same. Other
-columns pass through, whatever their names.
+columns pass through, whatever their names, but for `line_dedup`, which is replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import content_key, documents, staged
+from netloom.llm.common import content_key, documents, packed, staged
 
 MIN_SITES, MIN_WORDS, LEAST_LEFT = 5, 4, 0.2
 LG_K, MARGIN = 11, 0.25  # a margin of over ten standard errors of 1.04 / sqrt(2 ** 11)
@@ -51,21 +51,20 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     `line_dedup` of n_lines and n_removed."""
     found = staged(boilerplate(docs, min_sites, min_words))
     removed = _lines(docs, min_words).join(found, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("removed"))
-    removed = removed.select(F.col("key.a").alias("__a"), F.col("key.b").alias("__b"), "removed").withColumnRenamed("removed", "__removed")
+    removed = staged(removed.select("key.a", "key.b", "removed"))
     key = content_key(F.col("doc_id"), F.col("text"))
-    rows = docs.withColumns({"__ka": key["a"], "__kb": key["b"]})
-    rows = rows.join(staged(removed), (F.col("__ka") == F.col("__a")) & (F.col("__kb") == F.col("__b")), "left")
-    parts = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__removed")
-    kept = F.transform(left, lambda i: F.get(F.col("__parts"), i))
-    rows = rows.withColumn("__parts", parts).withColumn("__kept", F.when(F.col("__removed").isNotNull(), kept))
-    enough = F.length(F.array_join("__kept", "")) >= F.lit(least_left) * F.length(F.array_join("__parts", ""))
-    rows = rows.withColumn("__clean", F.col("__removed").isNotNull() & enough)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("__parts")).cast("bigint")
-    n_removed = F.when(F.col("__clean"), F.size("__removed")).otherwise(0).cast("bigint")
-    rows = rows.withColumn("line_dedup", F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed")))
-    rows = rows.withColumn("text", F.when(F.col("__clean"), F.array_join("__kept", "\n")).otherwise(F.col("text")))
-    return rows.select(*(c for c in docs.columns if c != "line_dedup"), "line_dedup")
+    rows = docs.select(packed(docs).alias("doc"), F.col("text").alias("old"), F.split("text", "\n").alias("parts"), key["a"].alias("a"), key["b"].alias("b"))
+    rows = rows.join(removed, ["a", "b"], "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "removed")
+    kept = F.transform(left, lambda i: F.get(F.col("parts"), i))
+    rows = rows.withColumn("kept", F.when(F.col("removed").isNotNull(), kept))
+    enough = F.length(F.array_join("kept", "")) >= F.lit(least_left) * F.length(F.array_join("parts", ""))
+    rows = rows.withColumn("clean", F.col("removed").isNotNull() & enough)
+    n_lines = F.when(F.col("old").isNull(), 0).otherwise(F.size("parts")).cast("bigint")
+    n_removed = F.when(F.col("clean"), F.size("removed")).otherwise(0).cast("bigint")
+    text = F.when(F.col("clean"), F.array_join("kept", "\n")).otherwise(F.col("old"))
+    columns = [text.alias("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns if c != "line_dedup"]
+    return rows.select(*columns, F.struct(n_lines.alias("n_lines"), n_removed.alias("n_removed")).alias("line_dedup"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

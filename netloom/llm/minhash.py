@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import chunks, content_key, documents, staged
+from netloom.llm.common import chunks, content_key, documents, packed, staged, unpacked
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -344,13 +344,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILAR, rounds: int = ROUND
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` that stay: one of each class."""
     kept = staged(near_duplicates(docs, **options).where("kept").groupBy("a", "b", "doc_id").agg(F.count("*").alias("m")))
-    kept = kept.select(F.col("a").alias("__ka"), F.col("b").alias("__kb"), F.col("doc_id").alias("__id"), F.col("m").alias("__m"))
-    key = content_key(F.coalesce("text", F.lit("")))
-    rows = docs.withColumns({"__a": key["a"], "__b": key["b"]})
-    rows = rows.join(kept, (F.col("__a") == F.col("__ka")) & (F.col("__b") == F.col("__kb")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    worded = F.coalesce("text", F.lit("")).rlike(r"\S")
-    once = rows.where(worded).dropDuplicates(["__a", "__b", "__id"])
-    return once.unionByName(rows.where(~worded)).select(*docs.columns)
+    key, worded = content_key(F.coalesce("text", F.lit(""))), F.coalesce("text", F.lit("")).rlike(r"\S")
+    rows = docs.select(packed(docs).alias("doc"), key["a"].alias("a"), key["b"].alias("b"), F.col("doc_id").cast("bigint").alias("id"), worded.alias("worded"))
+    rows = rows.join(kept.withColumnRenamed("doc_id", "kept_id"), ["a", "b"]).where(F.col("id").eqNullSafe(F.col("kept_id")))
+    once = rows.where("worded").groupBy("a", "b", "id").agg(F.first("doc").alias("doc"))
+    return once.select("doc").unionByName(rows.where("not worded").select("doc")).select(*unpacked(docs, docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

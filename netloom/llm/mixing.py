@@ -33,7 +33,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import content_key, documents, staged
+from netloom.llm.common import content_key, documents, packed, staged, unpacked
 
 WEIGHTS, MOST = (5, 2, 1), 3
 TILT, CELL = 0.25, 20_000
@@ -151,10 +151,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
     copies, _ = mix(staged(sizes(docs)), **options)
     key = content_key(F.col("doc_id"), F.col("source"), F.col("text"))
-    rows = docs.withColumns({"__a": key["a"], "__b": key["b"]})
-    copies = copies.select(F.col("ka").alias("__ka"), F.col("kb").alias("__kb"), F.col("copies").alias("__copies")).where("__copies > 0")
-    rows = rows.join(copies, (F.col("__a") == F.col("__ka")) & (F.col("__b") == F.col("__kb")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    rows = docs.select(packed(docs).alias("doc"), key["a"].alias("ka"), key["b"].alias("kb")).join(copies.where("copies > 0"), ["ka", "kb"])
+    rows = rows.select("doc", F.explode(F.sequence(F.lit(1), "copies")))
+    return rows.select(*unpacked(docs, docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

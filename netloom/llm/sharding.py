@@ -21,7 +21,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm.common import documents
+from netloom.llm.common import documents, packed, unpacked
 
 SLOTS, SHARDS = 65_537, 64
 HEX = 15
@@ -59,12 +59,12 @@ def names(n: int = SHARDS) -> tuple[str, ...]:
 def place(df: DataFrame, key: str, shards: tuple[str, ...], slots: int = SLOTS) -> DataFrame:
     """`df` with `slot` and `shard` (the shard's index)."""
     flat = ",".join(map(str, lookup_table(shards, slots)))
-    table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(flat), ",")).alias("__slot", "__shard"))
-    table = table.select("__slot", F.col("__shard").cast("int"))
+    table = df.sparkSession.range(1).select(F.posexplode(F.split(F.lit(flat), ",")).alias("slot", "shard"))
+    table = table.select("slot", F.col("shard").cast("int"))
     number = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, HEX), 16, 10).cast("bigint")
-    out = df.drop("slot", "shard").withColumn("__at", (number % slots).cast("int"))
-    out = out.join(F.broadcast(table), F.col("__at") == F.col("__slot"))  # size fixed: `slots` rows
-    return out.withColumnRenamed("__at", "slot").withColumnRenamed("__shard", "shard").drop("__slot")
+    rows = df.select(packed(df).alias("doc"), (number % slots).cast("int").alias("slot"))
+    out = rows.join(F.broadcast(table), "slot")  # size fixed: `slots` rows
+    return out.select(*unpacked(df, [c for c in df.columns if c not in ("slot", "shard")]), "slot", "shard")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
