@@ -36,11 +36,11 @@ def test_mix(spark, docs, empty):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     got = mixing.mixture(df).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0) for r in got)
-    taken, target = {}, {}
-    for r in got:
-        taken[r.target] = taken.get(r.target, 0) + r.taken
-        target[r.target] = r.target
-    assert all(abs(taken[k] / k - 1) < 0.01 for k in target if k)
+    source, taken, target = {i: s for i, _, s in rows}, {}, {}
+    for r in got:  # by source: two sources of the same weight have the same target
+        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+        target[source[r.doc_id]] = r.target
+    assert len(target) == 5 and all(abs(taken[k] / target[k] - 1) < 0.01 for k in target)
     assert sorted(map(tuple, mixing.mixture(df.repartition(5)).collect())) == sorted(map(tuple, got))
     assert mixing.mixed(df).where("text <> ''").select(F.sum(F.regexp_count("text", F.lit("w")))).first()[0] == sum(taken.values())
     assert mixing.mixture(docs).count() == docs.count() and mixing.mixture(empty).collect() == []
