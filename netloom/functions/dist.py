@@ -11,11 +11,12 @@ _LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 _ERFC = np.vectorize(math.erfc, otypes=[float])
 
 
-def betainc(a, b, x):
-    """Regularised incomplete beta function, by its continued fraction (modified Lentz)."""
+def betainc(a, b, x, rest=None):
+    """Regularised incomplete beta function, by its continued fraction (modified Lentz).
+    `rest` is 1 - x, where the caller has it without cancellation."""
     a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
     flip = x > (a + 1) / (a + b + 2)
-    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    p, q, z = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x if rest is None else rest, x)
     z = np.clip(z, 0.0, 1.0)
     with np.errstate(all="ignore"):
         front = np.exp(_LGAMMA(p + q) - _LGAMMA(p) - _LGAMMA(q) + p * np.log(z) + q * np.log1p(-z)) / p
@@ -46,7 +47,7 @@ def norm_cdf(z):
 def t_cdf(t, df):
     t = np.asarray(t, float)
     with np.errstate(all="ignore"):
-        tail = 0.5 * betainc(np.asarray(df, float) / 2, 0.5, np.where(np.isinf(t), 0.0, df / (df + t * t)))
+        tail = 0.5 * betainc(np.asarray(df, float) / 2, 0.5, np.where(np.isinf(t), 0.0, df / (df + t * t)), np.where(np.isinf(t), 1.0, t * t / (df + t * t)))
     return np.where(np.isnan(t), np.nan, np.where(t > 0, 1 - tail, tail))
 
 

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 def read_matrices(spark: SparkSession, path, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """(file, i, j, w) from whitespace-separated square matrices, one file a subject; i and j
     from 1, NaN and NA are 0. `path`: a file, a folder, or a list."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    text = reader.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    rows = text.select("file", F.posexplode(F.split(F.trim("value"), r"\s*\n\s*")).alias("i", "line"))
-    cells = rows.select("file", (F.col("i") + 1).alias("i"), F.posexplode(F.split(F.trim("line"), r"\s+")).alias("j", "x"))
+    text = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+    rows = text.select("file", F.posexplode(F.split("value", r"\s*\n\s*")).alias("i", "line"))
+    cells = rows.select("file", (F.col("i") + 1).alias("i"), F.posexplode(F.split("line", r"\s+")).alias("j", "x"))
     w = F.coalesce(F.expr("try_cast(x AS double)"), F.lit(0.0))
     return cells.select("file", "i", (F.col("j") + 1).alias("j"), F.when(F.isnan(w), 0.0).otherwise(w).alias("w"))
 
@@ -26,7 +26,8 @@ def read_divisors(spark: SparkSession, path) -> DataFrame:
     return read_matrices(spark, path).where("j = 1").select("file", "i", F.col("w").alias("d"))
 
 
-#: Ordered: longer names first, so that no pattern eats part of another's name.
+# Abbreviations of region names, in the order in which they apply (longer names
+# first, so that no pattern eats part of another's name).
 ABBREVIATIONS = (
     ("bankssts", "BSTS"), ("caudalanteriorcingulate", "cACC"), ("caudalmiddlefrontal", "cMFG"), ("precuneus", "PCUN"), ("cuneus", "CUN"), ("entorhinal", "ENT"),
     ("fusiform", "FUS"), ("inferiorparietal", "IPL"), ("inferiortemporal", "ITG"), ("isthmuscingulate", "iCC"), ("lateraloccipital", "LOG"), ("lateralorbitofrontal", "LOF"),
@@ -48,10 +49,13 @@ def short_name(column: str, modality: str = "thickness") -> str:
     return x.replace("&", "_").replace("-", "_")
 
 
-def pad_ids(df: DataFrame, column: str = "sid") -> DataFrame:
-    """Zero-pads ids to the longest, if all are numbers."""
-    s = df.agg(F.bool_and(F.col(column).rlike(r"^\d+$")).alias("numbers"), F.max(F.length(column)).alias("width")).first()
-    return df.withColumn(column, F.lpad(column, s["width"], "0")) if s["numbers"] else df
+def pad_ids(*tables: DataFrame, column: str = "sid") -> list[DataFrame]:
+    """Zero-pads the ids of tables that belong together to the longest, if all are numbers."""
+    seen = [df.agg(F.bool_and(F.col(column).rlike(r"^\d+$")).alias("numbers"), F.max(F.length(column)).alias("width")).first() for df in tables]
+    if not all(s["numbers"] for s in seen):
+        return list(tables)
+    width = max(s["width"] for s in seen)
+    return [df.withColumn(column, F.lpad(column, width, "0")) for df in tables]
 
 
 def read_hemispheres(spark: SparkSession, folder: str, parcellation: str = "aparc", modality: str = "thickness", exclude: tuple[str, ...] = (), subcortical: bool = False) -> tuple[DataFrame, list[str], list[str]]:
@@ -62,7 +66,8 @@ def read_hemispheres(spark: SparkSession, folder: str, parcellation: str = "apar
         t = spark.read.option("header", True).csv(f"{folder}/{name}")
         keep = [c for c in t.columns[1:] if "mean" not in c.lower()][: 14 if name == "asegstats.csv" else None]
         t = t.select(F.col(f"`{t.columns[0]}`").cast("string").alias("sid"), *(F.col(f"`{c}`").cast("double").alias(short_name(c, modality)) for c in keep))
-        tables.append(pad_ids(t))
+        tables.append(t)
+    tables = pad_ids(*tables)
     ids = [set(r["sid"] for r in t.select("sid").collect()) for t in tables]  # a study's subjects
     missing = sorted(set.union(*ids) - set.intersection(*ids))
     out = tables[0]
@@ -102,6 +107,7 @@ def create_atlas(spark: SparkSession, regions: list[str], coords: list[tuple[flo
     return spark.createDataFrame(rows, ["v", "name", "x", "y", "z", "lobe", "hemi", *other])
 
 
+# Regions of known atlases.
 _atlases: dict[str, int] = {"dk": 68, "dk.scgm": 82, "dkt": 62, "dkt.scgm": 76, "destrieux": 148, "destrieux.scgm": 162, "aal90": 90, "aal116": 116, "lpba40": 56, "hoa112": 112, "brainsuite": 74, "craddock200": 200, "dosenbach160": 160, "power264": 264, "gordon333": 333, "hcp_mmp1.0": 360}
 
 
