@@ -13,6 +13,9 @@ from netloom.operators import glm as G
 from netloom.operators import local as R
 from netloom.operators import matrices as X
 from netloom.operators import measures as M
+from netloom.operators import model as O
+from netloom.operators.collection import Networks
+from netloom.plans import figures as P
 from netloom.plans import fixtures as T
 from netloom.streaming.edges import windowed_edges
 
@@ -507,10 +510,7 @@ def supplier_network(spark, sf):
 for _m in ("louvain", "fast_greedy", "walktrap", "label_prop", "leading_eigen", "edge_betweenness", "spinglass", "infomap"):
 
     def _community(spark, sf, method=_m):
-        v, e = T.graph(spark, sf)
-        some = ["1996-01", "1998-06", "2000-12"]  # slow methods: three graphs are the query's definition
-        f = F.col("gid").isin(some) if method in ("edge_betweenness", "spinglass", "infomap") else F.lit(True)
-        return M.communities(v.where(f), e.where(f), method)
+        return M.communities(*T.graph(spark, sf), method)
 
     _community.__name__ = f"community_{_m}"
     query()(_community)
@@ -809,10 +809,9 @@ def mtpc(spark, sf):
 
 @query()
 def mediation(spark, sf):
-    y = T.strengths(spark, sf).where("region IN ('r01', 'r02', 'r03')")  # three mediators are the query's definition
     c = T.covars_table(spark, sf, "grp", "age", "load")
     c["treat"] = (c.pop("grp") == "B").astype(float)
-    return rounded(G.mediation(y, c, "load", "treat", ("age",), n=100))
+    return rounded(G.mediation(T.strengths(spark, sf), c, "load", "treat", ("age",), n=100))
 
 
 @query(sql(_ANCOVA | dict(zz="SELECT *, 1.0::DOUBLE AS one FROM ce", ld="SELECT strftime(o_orderdate, '%Y-%m') AS sid, count(*)::DOUBLE AS load FROM orders GROUP BY ALL", f1="SELECT v, regr_slope(value, b) AS a FROM ce GROUP BY v", f2="SELECT v, regr_slope(value, b) AS s1, regr_intercept(value, b) AS i1, regr_slope(load, b) AS s2, regr_intercept(load, b) AS i2 FROM ce JOIN ld USING (sid) GROUP BY v", r2="SELECT v, value - i1 - s1 * b AS rm, load - i2 - s2 * b AS ry FROM ce JOIN ld USING (sid) JOIN f2 USING (v)", f3="SELECT v, sum(rm * ry) / sum(rm * rm) AS bb FROM r2 GROUP BY v"), "SELECT 'r' || lpad(v::VARCHAR, 2, '0') AS region, round(a * bb, 6) AS d_avg FROM f1 JOIN f3 USING (v)"))
@@ -823,6 +822,125 @@ def mediation_point(spark, sf):
     return rounded(out.select("region", F.col("estimate").alias("d_avg")))
 
 
+# models as objects, and summaries
+
+_STRENGTH = _PAIRS | dict(ss="SELECT sid, grp, v, 'r' || lpad(v::VARCHAR, 2, '0') AS region, coalesce(sum(w), 0)::DOUBLE AS value FROM grps CROSS JOIN reg LEFT JOIN (SELECT sid, i AS v, w FROM sym UNION ALL SELECT sid, j, w FROM sym) USING (sid, v) GROUP BY ALL")
+
+
+def _model(spark, sf, *columns, **kw):
+    return O.LinearModel(T.strengths(spark, sf), T.covars_table(spark, sf, *columns), **kw)
+
+
+@query(sql(_STRENGTH | dict(q="SELECT region, count(*) FILTER (grp = 'A') AS na, count(*) FILTER (grp = 'B') AS nb, ((count(*) FILTER (grp = 'A') - 1) * var_samp(value) FILTER (grp = 'A') + (count(*) FILTER (grp = 'B') - 1) * var_samp(value) FILTER (grp = 'B')) / (count(*) - 2) AS s2 FROM ss GROUP BY region"), "SELECT region, 'Intercept' AS row, 'Intercept' AS col, round(s2 / na, 4) AS value FROM q UNION ALL SELECT region, 'Intercept', 'grpB', round(-s2 / na, 4) FROM q UNION ALL SELECT region, 'grpB', 'Intercept', round(-s2 / na, 4) FROM q UNION ALL SELECT region, 'grpB', 'grpB', round(s2 / na + s2 / nb, 4) FROM q"))
+def glm_vcov(spark, sf):
+    return _model(spark, sf, "grp").vcov().withColumn("value", F.round("value", 4))
+
+
+@query(sql(_STRENGTH | dict(z="SELECT region, sid, grp, value - avg(value) OVER (PARTITION BY region, grp) AS e, count(*) OVER (PARTITION BY region, grp) AS n FROM ss"), "SELECT region, sid, grp AS term, round(e / (1 - 1.0::DOUBLE / n), 4) AS resid FROM z"))
+def glm_predictive_residuals(spark, sf):
+    m = _model(spark, sf, "grp")
+    return m.rstandard("predictive").join(T.groups(spark, sf), "sid").select("region", "sid", F.col("grp").alias("term"), F.round("rstandard", 4).alias("resid"))
+
+
+@query()
+def glm_partial_residuals(spark, sf):
+    return rounded(_model(spark, sf, "age", "grp").residuals("partial"))
+
+
+@query()
+def glm_dfbetas(spark, sf):
+    return rounded(_model(spark, sf, "age", "grp").dfbeta(True))
+
+
+@query()
+def glm_influence(spark, sf):
+    return rounded(_model(spark, sf, "age", "grp").influence_wide())
+
+
+@query()
+def glm_diagnostics(spark, sf):
+    return rounded(P.diagnostics(_model(spark, sf, "age", "grp").observations()))
+
+
+@query()
+def glm_vif(spark, sf):
+    return rounded(spark.createDataFrame(_model(spark, sf, "age", "load", "grp", "scanner").vif(), "term string, gvif double, df long, gvif_scaled double"))
+
+
+@query()
+def glm_summary(spark, sf):
+    return rounded(_model(spark, sf, "age", "grp", contrasts={"B over A": [0, 0, 1]}).summary(alpha=0.2))
+
+
+@query()
+def glm_result_graphs(spark, sf):
+    stats = _model(spark, sf, "age", "grp", contrasts={"age": [0, 1, 0], "B over A": [0, 0, 1]}).statistics()
+    atlas = T.regions(spark, sf).withColumn("name", F.format_string("r%02d", "v"))
+    return rounded(Networks.of_results(stats, atlas).vertices)
+
+
+@query()
+def mediation_wide(spark, sf):
+    return rounded(O.mediation_summary(mediation(spark, sf)))
+
+
+# tables behind figures
+
+
+@query(sql(_STRENGTH | dict(q="SELECT region, grp, min(value) AS lo, max(value) AS hi, count(*) AS n, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr FROM ss GROUP BY ALL", w="SELECT *, CASE WHEN iqr > 0 THEN 2 * iqr / cbrt(n) WHEN hi > lo THEN hi - lo ELSE 1 END AS width FROM q", b="SELECT ss.region, ss.grp, least(floor((value - lo) / width), greatest(1, ceil((hi - lo) / width)) - 1)::INT AS bin, lo, width FROM ss JOIN w ON ss.region = w.region AND ss.grp = w.grp"), "SELECT region, grp, bin, round(lo + width * bin, 6) AS low, round(lo + width * (bin + 1), 6) AS high, count(*) AS n FROM b GROUP BY ALL"))
+def histogram_bins(spark, sf):
+    return rounded(P.histogram(T.strengths(spark, sf).join(T.groups(spark, sf), "sid")))
+
+
+@query(sql(_STRENGTH | dict(q="SELECT grp, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3, avg(value) AS mean, count(*) AS n FROM ss GROUP BY grp", e="SELECT grp, min(value) AS low, max(value) AS high FROM ss JOIN q USING (grp) WHERE value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) GROUP BY grp"), "SELECT grp, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(mean, 6) AS mean, n, low, high FROM q JOIN e USING (grp)"))
+def box_distribution(spark, sf):
+    return rounded(P.distribution(T.strengths(spark, sf).join(T.groups(spark, sf), "sid"), "value"))
+
+
+@query(sql(_STRENGTH, "SELECT region, grp, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(stddev_samp(value) / sqrt(count(*)), 6) AS se, count(*) AS n FROM ss GROUP BY ALL"))
+def group_means(spark, sf):
+    return rounded(P.group_means(T.strengths(spark, sf).join(T.groups(spark, sf), "sid")))
+
+
+@query(sql(_GRAPH | dict(st="SELECT gid, lag(gid) OVER (ORDER BY gid) AS before FROM (SELECT DISTINCT gid FROM edges)"), "SELECT gid, src, dst FROM edges JOIN st USING (gid) WHERE before IS NOT NULL AND NOT EXISTS (SELECT 1 FROM edges o WHERE o.gid = st.before AND o.src = edges.src AND o.dst = edges.dst)"))
+def edge_changes(spark, sf):
+    return P.edge_changes(T.graph(spark, sf)[1].withColumn("month", F.col("gid")), "month")
+
+
+@query(sql(_CONN, "SELECT v, -y AS lx, z AS ly FROM reg WHERE hemi = 'L'"))
+def sagittal_positions(spark, sf):
+    return P.positions(T.regions(spark, sf), "sagittal.left")
+
+
+@query(sql(_CONN, "SELECT v, y AS lx, z AS ly FROM reg WHERE hemi = 'R'"))
+def sagittal_positions_right(spark, sf):
+    return P.positions(T.regions(spark, sf), "sagittal.right")
+
+
+@query(sql(_GRAPH, "SELECT gid, lobe, count(*) AS n FROM verts JOIN reg USING (v) GROUP BY ALL"))
+def legend_counts(spark, sf):
+    v, _ = T.graph(spark, sf)
+    return P.legend(v.join(T.regions(spark, sf), "v"), "lobe")
+
+
+# collections
+
+
+@query(sql(_GRAPH, "SELECT gid, " + ", ".join(f"max(degree) FILTER (v = {v})::DOUBLE AS r{v:02d}" for v in range(1, 26)) + " FROM deg GROUP BY gid"))
+def degree_wide(spark, sf):
+    """A row for each graph, a column for each region."""
+    v, e = T.graph(spark, sf)
+    atlas = T.regions(spark, sf).withColumn("name", F.format_string("r%02d", "v"))
+    n = Networks.from_edges(e, atlas, v.select("gid").distinct()).measured(["degree"], [])
+    return n.outcome_wide("degree").withColumnRenamed("sid", "gid")
+
+
+@query(sql(_GRAPH | dict(k="SELECT v FROM reg WHERE hemi = 'L'"), "SELECT gid, src, dst, weight FROM edges SEMI JOIN k ON k.v = src WHERE dst IN (SELECT v FROM k)"))
+def left_subnetwork(spark, sf):
+    v, e = T.graph(spark, sf)
+    return Networks.from_edges(e, T.regions(spark, sf), v.select("gid").distinct()).subgraph("hemi = 'L'").edges.select("gid", "src", "dst", "weight")
+
+
 # events: users (in 20 blocks) linked to the event types they share a day with
 
 
