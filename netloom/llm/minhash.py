@@ -10,10 +10,10 @@ the signature, and two texts agree in a register with probability equal to their
 Jaccard similarity. Points are drawn in rounds for a whole chunk of texts, only while they
 can still be earlier than the latest register of their text.
 
-Signatures are banded. Of each bucket with several texts a leader is taken and all others
-are verified against it: exactly, as multisets. Connected components of the verified links
-are merged. Buckets that still hold several components get further leaders, `ROUNDS` times,
-and then what is left is compared in full, block by block, without emitting pairs: in each
+Signatures are banded. Of each bucket with several texts a leader is taken (the first in an
+order that all buckets share) and the others are verified against it: exactly, as multisets.
+Connected components of the verified links are merged. What buckets still hold
+several components are compared in full, block by block, without emitting pairs: in each
 bucket the members outside its largest component against all members, so no link between
 different components of a bucket is lost, and nothing is capped. With 32 bands of 6
 registers a pair at similarity 0.8 shares a bucket with probability 0.99994.
@@ -42,7 +42,7 @@ from netloom.llm.common import chunks, content_key, documents, packed, staged, u
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 6
 REGISTERS = BANDS * ROWS
-ROUNDS, BLOCK = 3, 256
+BLOCK = 256
 
 _U = np.uint64
 
@@ -234,19 +234,11 @@ def _verified(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def overlap(x: pd.Series, y: pd.Series) -> pd.Series:
-        last, right, out = None, None, []
-        for p, q in zip(x, y):
-            if q is not last:
-                last, right = q, unpack(q)
-            out.append(similar(unpack(p), right, least))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([similar(unpack(p), unpack(q), least) for p, q in zip(x, y)], dtype=bool)
 
-    one = prints.select("u", F.col("size").alias("n1"), F.col("items").alias("x"))
-    two = prints.select(F.col("u").alias("v"), F.col("size").alias("n2"), F.col("items").alias("y"))
-    sizes = prints.select("u", "size")
-    slim = pairs.join(sizes.withColumnRenamed("size", "n1"), "u").join(sizes.select(F.col("u").alias("v"), F.col("size").alias("n2")), "v")
-    slim = slim.where(F.least("n1", "n2") >= least * F.greatest("n1", "n2") - 1e-9).select("u", "v")
-    return slim.join(one.drop("n1"), "u").join(two.drop("n2"), "v").where(overlap("x", "y")).select("u", "v")
+    one = prints.select("u", F.col("items").alias("x"))
+    two = prints.select(F.col("u").alias("v"), F.col("items").alias("y"))
+    return pairs.join(one, "u").join(two, "v").where(overlap("x", "y")).select("u", "v")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -266,22 +258,17 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _residual(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """k, u, c of the buckets that hold several components; texts without links are their own."""
+def _compare_blocks(member: DataFrame, labels: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) of components u and v, from the buckets of member(k, u) that hold several
+    of them; texts without links are components of their own. In each such bucket the members
+    outside its largest component (side 0) meet all its members (side 1), in blocks of `BLOCK`
+    by `BLOCK`; a block pair is one group, which yields links alone."""
     now = staged(member.join(labels, "u", "left").select("k", "u", F.coalesce("c", "u").alias("c")))
-    mixed = now.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    return staged(now.join(staged(mixed), "k", "left_semi"))
-
-
-def _compare_blocks(rest: DataFrame, prints: DataFrame, least: float) -> DataFrame:
-    """The links between different components inside the residual buckets. In each bucket
-    the members outside its largest component (side 0) meet all its members (side 1), in
-    blocks of `BLOCK` by `BLOCK`; a block pair is one group, which yields links alone."""
-    spread = rest.groupBy("k", "c").agg(F.count("*").alias("m"))
-    largest = spread.groupBy("k").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all"))
+    spread = now.groupBy("k", "c").agg(F.count("*").alias("m"))
+    largest = spread.groupBy("k").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("all")).where("top.m < all")
     largest = staged(largest.select("k", F.col("top.c").alias("major"), "all", (F.col("all") - F.col("top.m")).alias("minor")))
     block = lambda n: F.pmod(F.xxhash64("u"), F.ceil(F.col(n) / BLOCK)).cast("int")
-    rows = rest.join(largest, "k")
+    rows = now.join(largest, "k")
     blocks = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int"))
     minor = rows.where("c <> major").select("k", "u", "c", F.lit(0).alias("side"), block("minor").alias("p"), F.explode(blocks("all")).alias("q"))
     every = rows.select("k", "u", "c", F.lit(1).alias("side"), F.explode(blocks("minor")).alias("p"), block("all").alias("q"))
@@ -290,54 +277,44 @@ def _compare_blocks(rest: DataFrame, prints: DataFrame, least: float) -> DataFra
     def compare(cell: pd.DataFrame) -> pd.DataFrame:
         left, right = cell[cell.side == 0], cell[cell.side == 1]
         sets = {u: unpack(x) for u, x in zip(cell.u, cell["items"])}
-        links, seen = [], set()
+        links = set()
         for u, c in zip(left.u, left.c):
             for v, d in zip(right.u, right.c):
-                if c != d and (c, d) not in seen and similar(sets[u], sets[v], least):
-                    seen |= {(c, d), (d, c)}
-                    links.append((u, v))
-        return pd.DataFrame(links, columns=["u", "v"], dtype="int64")
+                if c != d and (c, d) not in links and (d, c) not in links and similar(sets[u], sets[v], least):
+                    links.add((c, d))
+        return pd.DataFrame(sorted(links), columns=["u", "v"], dtype="int64")
 
     return cells.groupBy("k", "p", "q").applyInPandas(compare, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILAR, rounds: int = ROUNDS) -> DataFrame:
-    """row, doc_id, a, b, class_id, class_size, kept of each of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """doc_id, a, b, class_id, class_size, kept of each of docs(doc_id, text)."""
     rows = staged(_sign(docs))
-    texts = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-    texts = staged(texts.withColumn("u", F.monotonically_increasing_id()))
-    member = texts.select("u", F.explode("bands").alias("k"))
-    buckets = staged(member.groupBy("k").agg(F.count("*").alias("m"), F.min("u").alias("v")).where("m > 1").select("k", "v"))
-    member = staged(member.join(buckets, "k"))  # k, u, and the leader v
+    sort = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    texts = rows.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("first_id"), F.min(sort).alias("best"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    size = F.greatest(F.col("n") - (WORDS - 1), F.lit(1))
+    texts = staged(texts.withColumns({"u": F.monotonically_increasing_id(), "size": size}))
+    member = texts.select("u", "size", F.explode("bands").alias("k"))
+    leader = F.min(F.struct(F.col("u").alias("v"), F.col("size").alias("n")))  # one order for all buckets, so that pairs recur
+    buckets = member.groupBy("k").agg(F.count("*").alias("in"), leader.alias("l")).where("in > 1").select("k", "l.v", F.col("l.n").alias("n"))
+    member = staged(member.join(staged(buckets), "k"))
+    alike = F.least("size", "n") >= least * F.greatest("size", "n") - 1e-9
+    pairs = member.where("u <> v").where(alike).select("u", "v").distinct()
     wanted = texts.join(member.select("u").distinct(), "u", "left_semi").select("a", "b", "first_id", "u")
     prints = staged(_fingerprints(docs, wanted))
-    links = staged(_verified(member.where("u <> v").select("u", "v").distinct(), prints, least))
-    labels = components(links)
-    member = member.select("k", "u")
-    for r in range(rounds):
-        rest = _residual(member, labels)
-        if not rest.limit(1).count():
-            break
-        if r < rounds - 1:
-            lead = rest.groupBy("k").agg(F.min(F.struct(F.xxhash64("u", F.lit(r)).alias("h"), F.col("u").alias("v"), F.col("c").alias("d"))).alias("lead"))
-            pairs = rest.join(staged(lead.select("k", "lead.v", "lead.d")), "k").where("c <> d").select("u", "v").distinct()
-            more = staged(_verified(staged(pairs), prints, least))
-        else:
-            more = staged(_compare_blocks(rest, prints, least))
-        if more.limit(1).count():
-            links = staged(links.unionByName(more))
-            labels = components(links)
-    classes = texts.join(labels, "u", "left").select("a", "b", F.coalesce("c", "u").alias("c"))
-    named = rows.join(staged(classes), ["a", "b"], "left")  # texts without words have no c
-    sort = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    some = staged(named.select("row", "doc_id", "a", "b", "c"))
-    best = staged(some.where("c is not null").groupBy("c").agg(F.min(sort).alias("best"), F.count("*").alias("m")))
-    out = some.join(best, "c", "left")
+    labels = components(staged(_verified(pairs, prints, least)))
+    more = staged(_compare_blocks(member.select("k", "u"), labels, prints, least))
+    named = texts.select("u", "a", "b", "best", "m").join(labels, "u", "left").withColumn("c", F.coalesce("c", "u"))
+    if more.limit(1).count():
+        named = named.join(components(more).select(F.col("u").alias("c"), F.col("c").alias("joint")), "c", "left").withColumn("c", F.coalesce("joint", "c"))
+    named = staged(named.select("a", "b", "best", "m", "c"))
+    classes = staged(named.groupBy("c").agg(F.min("best").alias("first"), F.sum("m").alias("size")))
+    out = rows.select("row", "doc_id", "a", "b").join(staged(named.select("a", "b", "c").join(classes, "c").drop("c")), ["a", "b"], "left")
     return out.select(
         "doc_id", "a", "b",
-        F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("class_id"),
-        F.coalesce("m", F.lit(1)).alias("class_size"),
-        (F.col("c").isNull() | (F.col("row") == F.col("best.row"))).alias("kept"),
+        F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
+        F.coalesce("size", F.lit(1)).alias("class_size"),
+        (F.col("size").isNull() | (F.col("row") == F.col("first.row"))).alias("kept"),
     )
 
 

@@ -74,19 +74,17 @@ def classes(rows):
     return out
 
 
-@pytest.mark.parametrize("rounds", [3, 1])
-def test_near(docs, rows, rounds):
+def test_near(docs, rows):
     want = {}
     for ids in classes(rows).values():
         for d in ids:
             want[d] = (min((x for x in ids if x is not None), default=None), len(ids))
-    got = minhash.near_duplicates(docs, rounds=rounds).collect()
+    got = minhash.near_duplicates(docs).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.class_id, r.class_size) == want[r.doc_id], r
     assert sum(r.kept for r in got) == len(classes(rows))
-    if rounds == 3:
-        assert minhash.keep_one(docs).count() == len(classes(rows))
+    assert minhash.keep_one(docs).count() == len(classes(rows))
 
 
 def test_near_blocks_find_chained_links(spark):
