@@ -17,7 +17,7 @@ the same result.
 
 Nulls and empty texts encode to no tokens. Repeated rows, ties and extra columns are
 harmless: a row's result depends on its text alone, and other columns are not read.
-Memory per task is bounded by a chunk (6 MB of text, or the longest text) and by a memo of
+Memory per task is bounded by a chunk (0.5 MB of text, or the longest text) and by a memo of
 `MEMO` pieces.
 """
 
@@ -37,8 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.llm.common import chunks
 
 LONG_PIECE = 256
-MEMO = 1_000_000
-CHUNK = 6_000_000
+MEMO = 200_000
+MERGED = 10_000
+CHUNK = 500_000
 SPACE, LETTER, NUMBER, OTHER, QUOTE = range(5)
 
 _RECURSION = """
@@ -184,7 +185,7 @@ class Codec:
                 if x is not None and y is not None:
                     left.append(x << 32 | y)
                     rank.append(r)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.register("m_", pa.table({"p": pa.array(left, pa.int64()), "r": pa.array(rank, pa.int32())}))
         self.db.execute("create table merges as select * from m_")
         self.db.register("v_", pa.table({"id": pa.array(ranks.values(), pa.uint32()), "b": pa.array(ranks.keys(), pa.binary())}))
@@ -215,8 +216,8 @@ class Codec:
                 out[i] = self.long_merge(w).tobytes()
             else:
                 rest.append(i)
-        for k in range(0, len(rest), 80_000):
-            part = rest[k : k + 80_000]
+        for k in range(0, len(rest), MERGED):
+            part = rest[k : k + MERGED]
             flat = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
             ends = np.zeros(len(part) + 1, np.int32)
             np.cumsum([len(words[i]) for i in part], out=ends[1:])
