@@ -6,7 +6,9 @@ line that a third of all rows hold costs one small sketch a task. Lines whose es
 surely below `min_sites` stay, lines surely above go, and lines near it get an exact
 distinct count. A line on at least `min_sites` sites is boilerplate.
 
-Lines of under `min_words` words and blank lines are never judged. A document of which less
+Lines of under `min_words` words and blank lines are never judged; with `min_words` 1 every
+line that isn't blank is (`op5_line_dedup_all` and the pipeline; `op5_line_dedup` keeps the
+limit of its SQL). A document of which less
 than `least_left` of the characters (other than line feeds) would remain isn't a document
 with boilerplate but a copy of one that other sites hold too: it keeps its text, for
 near-duplicate detection to judge.
@@ -32,7 +34,8 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     line = F.trim(F.col("line"))
     rows = docs.select(content_key(F.col("doc_id"), F.col("text")).alias("key"), site.alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.size(F.split(line, r"\s+")) >= min_words).select("key", "pos", "site", content_key(line).alias("h"))
+    judged = line.rlike(r"\S") if min_words <= 1 else F.size(F.split(line, r"\s+")) >= min_words
+    return rows.where(judged).select("key", "pos", "site", content_key(line).alias("h"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -71,6 +74,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
 
 
+def op5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(documents(spark, sf_dir), min_words=1).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
+
+
 OP5_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce('s' || source, 'n') AS site, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT r, site, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM d),

@@ -49,6 +49,26 @@ def test_lines(spark, docs, empty):
     assert line_dedup.line_dedup(docs).count() == docs.count() and line_dedup.line_dedup(empty).collect() == []
 
 
+def test_short_lines(spark):
+    """Lines of one to three words are judged too; blank lines stay."""
+    rows = [(i, f"the own words of document {i} are these\n\n\t\n All rights reserved. \nOk\n", f"s{i}") for i in range(5)]
+    rows += [(9, "All rights reserved. Not\nmore of it here", "s9")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, min_words=1).collect()}
+    for i in range(5):
+        assert got[i].text == f"the own words of document {i} are these\n\n\t\n" and got[i].line_dedup.n_removed == 2
+    assert got[9].text == rows[5][1]
+
+
+def test_short_lines_in_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"the own words of document {i} are these\nAll rights reserved.", "en", f"s{i}", 60) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.without_boilerplate(spark, df, "").collect()
+    assert len(got) == 5 and all(r.text == f"the own words of document {r.doc_id} are these" and r.n_chars == len(r.text) for r in got)
+
+
 def bag(t):
     w = (t or "").lower().split()
     return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
