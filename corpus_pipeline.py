@@ -20,8 +20,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many sites go, however short; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs, min_words=1)
+    """Lines on many sites go, however short and whatever is left; n_chars follows the text."""
+    out = line_dedup.line_dedup(docs, min_words=1, copies_only=True)
     n_chars = F.when(F.col("line_dedup.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
     return out.withColumn("n_chars", n_chars).select(*docs.columns)
 

@@ -11,7 +11,9 @@ line that isn't blank is (`op5_line_dedup_all` and the pipeline; `op5_line_dedup
 limit of its SQL). A document of which less
 than `least_left` of the characters (other than line feeds) would remain isn't a document
 with boilerplate but a copy of one that other sites hold too: it keeps its text, for
-near-duplicate detection to judge.
+near-duplicate detection to judge. The share alone doesn't show that: with `copies_only` such
+a document keeps its text only if another row holds the very same text; otherwise its lines
+go, whatever is left, be it an empty text (`op5_line_dedup_all` and the pipeline).
 
 A null source is a site of its own; a null text has no lines and stays null; an empty text
 stays empty; a row's result depends on its text alone, so repeated rows get the same. Other
@@ -30,12 +32,23 @@ LG_K, MARGIN = 11, 0.25  # a margin of over ten standard errors of 1.04 / sqrt(2
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """key, pos, h, site of the lines that are judged."""
+    """key, whole (the text's hashes and characters), pos, n (characters), h, site of the
+    lines that are judged."""
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     line = F.trim(F.col("line"))
-    rows = docs.select(content_key(F.col("doc_id"), F.col("text")).alias("key"), site.alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    size = F.length("text") - F.size(F.split("text", "\n")) + 1  # other than line feeds
+    whole = F.struct(content_key(F.col("text")).alias("t"), size.alias("size"))
+    rows = docs.select(content_key(F.col("doc_id"), F.col("text")).alias("key"), whole.alias("whole"), site.alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     judged = line.rlike(r"\S") if min_words <= 1 else F.size(F.split(line, r"\s+")) >= min_words
-    return rows.where(judged).select("key", "pos", "site", content_key(line).alias("h"))
+    return rows.where(judged).select("key", "whole", "pos", F.length("line").alias("n"), "site", content_key(line).alias("h"))
+
+
+def _but_copies(removed: DataFrame, least_left: float) -> DataFrame:
+    """`removed` without the texts that keep under `least_left` and that several rows hold.
+    Equal texts lose equal lines, so all rows of such a text are among those of `removed`."""
+    few = removed.where(F.col("whole.size") - F.col("gone") < F.lit(least_left) * F.col("whole.size"))
+    copies = few.groupBy("ta", "tb").agg(F.sum("times").alias("times")).where("times > 1").select("ta", "tb")
+    return removed.join(staged(copies), ["ta", "tb"], "left_anti")
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -49,12 +62,18 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MI
     return sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h"))
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, least_left: float = LEAST_LEFT) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, least_left: float = LEAST_LEFT, copies_only: bool = False) -> DataFrame:
     """The columns of docs(doc_id, text, source, ...) with the text cleaned, and a struct
     `line_dedup` of n_lines and n_removed."""
     found = staged(boilerplate(docs, min_sites, min_words))
-    removed = _lines(docs, min_words).join(found, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("removed"))
-    removed = staged(removed.select("key.a", "key.b", "removed"))
+    lines = _lines(docs, min_words).join(found, "h", "left_semi")
+    if copies_only:  # equal rows have one key: `times` is their number
+        lines = lines.groupBy("key", "whole", "pos", "n").agg(F.count("*").alias("times")).groupBy("key", "whole")
+        removed = lines.agg(F.collect_set("pos").alias("removed"), F.sum("n").alias("gone"), F.max("times").alias("times"))
+        removed = staged(removed.select("key.a", "key.b", "whole", F.col("whole.t.a").alias("ta"), F.col("whole.t.b").alias("tb"), "removed", "gone", "times"))
+        removed = _but_copies(removed, least_left).select("a", "b", "removed")
+    else:
+        removed = staged(lines.groupBy("key").agg(F.collect_set("pos").alias("removed")).select("key.a", "key.b", "removed"))
     key = content_key(F.col("doc_id"), F.col("text"))
     rows = docs.select(packed(docs).alias("doc"), F.col("text").alias("old"), F.split("text", "\n").alias("parts"), key["a"].alias("a"), key["b"].alias("b"))
     rows = rows.join(removed, ["a", "b"], "left")
@@ -62,7 +81,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN
     kept = F.transform(left, lambda i: F.get(F.col("parts"), i))
     rows = rows.withColumn("kept", F.when(F.col("removed").isNotNull(), kept))
     enough = F.length(F.array_join("kept", "")) >= F.lit(least_left) * F.length(F.array_join("parts", ""))
-    rows = rows.withColumn("clean", F.col("removed").isNotNull() & enough)
+    rows = rows.withColumn("clean", F.col("removed").isNotNull() & (F.lit(copies_only) | enough))
     n_lines = F.when(F.col("old").isNull(), 0).otherwise(F.size("parts")).cast("bigint")
     n_removed = F.when(F.col("clean"), F.size("removed")).otherwise(0).cast("bigint")
     text = F.when(F.col("clean"), F.array_join("kept", "\n")).otherwise(F.col("old"))
@@ -75,7 +94,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(documents(spark, sf_dir), min_words=1).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
+    return line_dedup(documents(spark, sf_dir), min_words=1, copies_only=True).select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "text")
 
 
 OP5_SQL = f"""

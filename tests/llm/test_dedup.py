@@ -69,6 +69,20 @@ def test_short_lines_in_pipeline(spark):
     assert len(got) == 5 and all(r.text == f"the own words of document {r.doc_id} are these" and r.n_chars == len(r.text) for r in got)
 
 
+def test_only_copies_are_spared(spark):
+    """A text of its own loses its boilerplate whatever is left; one that recurs keeps it."""
+    long = "this very long line is on every site and says nothing of the document that holds it, " * 2 + "so there"
+    rows = [(i, f"of {i}\n{long}\nso {i}", f"s{i}") for i in range(6)]
+    rows += [(10, long, "s1"), (11, long, "s2"), (12, f"{long}\n", "s3")]  # two copies, and a text of its own
+    rows += [(13, f"{long}\n\n", "s4")] * 2  # a repeated row
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df, copies_only=True).collect()}
+    for i in range(6):
+        assert got[i].text == f"of {i}\nso {i}" and got[i].line_dedup.n_removed == 1
+    assert got[10].text == got[11].text == long and got[12].text == "" and got[13].text == f"{long}\n\n"
+    assert line_dedup.line_dedup(df, copies_only=True).count() == len(rows)
+
+
 def bag(t):
     w = (t or "").lower().split()
     return Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter()
