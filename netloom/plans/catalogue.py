@@ -21,6 +21,7 @@ from netloom.streaming.edges import windowed_edges
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
+SQL_DIMS = 16  # of the embeddings, in the SQL of the cohort's queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -41,6 +42,19 @@ def query(sql: str | None = None):
     return add
 
 
+def cohort_query(sql: str):
+    """A query of the cohort (spark, sf, y) is registered twice: over the dimensions of its
+    SQL, and with the suffix _all over all dimensions, without SQL."""
+
+    def add(fn):
+        _QUERIES[fn.__name__] = lambda spark, sf: fn(spark, sf, T.cohort(spark, sf, SQL_DIMS))
+        _QUERIES[f"{fn.__name__}_all"] = lambda spark, sf: fn(spark, sf, T.cohort(spark, sf))
+        _SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
 def r6(c: str, name: str | None = None) -> F.Column:
     return (F.round(F.col(c).cast("double"), 6) + 0.0).alias(name or c.split(".")[-1])
 
@@ -626,19 +640,19 @@ def _corr_sql(value: str = "value") -> dict[str, str]:
     )
 
 
-@query(sql(_corr_sql(), "SELECT grp, r1, r2, n, round(r, 6) AS r FROM corr_"))
-def corr_pearson(spark, sf):
-    return rounded(S.correlations(T.cohort(spark, sf)))
+@cohort_query(sql(_corr_sql(), "SELECT grp, r1, r2, n, round(r, 6) AS r FROM corr_"))
+def corr_pearson(spark, sf, y):
+    return rounded(S.correlations(y))
 
 
-@query(sql(_corr_sql("rank() OVER (PARTITION BY grp, region ORDER BY value) + (count(*) OVER (PARTITION BY grp, region, value) - 1) / 2.0"), "SELECT grp, r1, r2, n, round(r, 6) AS r FROM corr_"))
-def corr_spearman(spark, sf):
-    return rounded(S.correlations(T.cohort(spark, sf), "spearman"))
+@cohort_query(sql(_corr_sql("rank() OVER (PARTITION BY grp, region ORDER BY value) + (count(*) OVER (PARTITION BY grp, region, value) - 1) / 2.0"), "SELECT grp, r1, r2, n, round(r, 6) AS r FROM corr_"))
+def corr_spearman(spark, sf, y):
+    return rounded(S.correlations(y, "spearman"))
 
 
-@query(sql(_corr_sql() | dict(rk="SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r) AS rn FROM corr_", ct="SELECT grp, density, r AS cut FROM rk, (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (1.0::DOUBLE)) d(density) WHERE rn = greatest(floor(120 - 120 * density), 1)"), "SELECT grp, r1, r2, n, round(r, 6) AS r, density FROM corr_ JOIN ct USING (grp) WHERE r > cut"))
-def corr_density_graph(spark, sf):
-    return rounded(S.correlation_edges(S.correlations(T.cohort(spark, sf)), T.doubles(spark, "density", 0.1, 0.3, 1.0)))
+@cohort_query(sql(_corr_sql() | dict(rk="SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r) AS rn FROM corr_", ct="SELECT grp, density, r AS cut FROM rk, (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (1.0::DOUBLE)) d(density) WHERE rn = greatest(floor(120 - 120 * density), 1)"), "SELECT grp, r1, r2, n, round(r, 6) AS r, density FROM corr_ JOIN ct USING (grp) WHERE r > cut"))
+def corr_density_graph(spark, sf, y):
+    return rounded(S.correlation_edges(S.correlations(y), T.doubles(spark, "density", 0.1, 0.3, 1.0)))
 
 
 @query()
@@ -646,9 +660,9 @@ def corr_p_values(spark, sf):
     return rounded(S.correlation_p(S.correlations(T.cohort(spark, sf))))
 
 
-@query(sql(_corr_sql(), "SELECT a.r1, a.r2, round((atanh(a.r) - atanh(b.r)) / sqrt(1.0::DOUBLE / (a.n - 3) + 1.0::DOUBLE / (b.n - 3)), 6) AS z FROM corr_ a JOIN corr_ b ON a.r1 = b.r1 AND a.r2 = b.r2 AND a.grp = '0' AND b.grp = '1'"))
-def cor_diff_z(spark, sf):
-    c = S.correlations(T.cohort(spark, sf))
+@cohort_query(sql(_corr_sql(), "SELECT a.r1, a.r2, round((atanh(a.r) - atanh(b.r)) / sqrt(1.0::DOUBLE / (a.n - 3) + 1.0::DOUBLE / (b.n - 3)), 6) AS z FROM corr_ a JOIN corr_ b ON a.r1 = b.r1 AND a.r2 = b.r2 AND a.grp = '0' AND b.grp = '1'"))
+def cor_diff_z(spark, sf, y):
+    c = S.correlations(y)
     a, b = c.where("grp = '0'"), c.where("grp = '1'").select("r1", "r2", F.col("r").alias("rb"), F.col("n").alias("nb"))
     return rounded(a.join(b, ["r1", "r2"]).select("r1", "r2", S.fisher_z(F.col("r"), F.col("n"), F.col("rb"), F.col("nb")).alias("z")))
 
@@ -659,24 +673,24 @@ _LOO = _corr_sql() | dict(
 )
 
 
-@query(sql(_LOO | dict(e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM lo UNION ALL SELECT grp, sid, r2, abs(r - q) FROM lo"), "SELECT grp, sid, region, round(sum(d), 6) AS rc FROM e GROUP BY ALL"))
-def loo_regional(spark, sf):
-    return rounded(S.contribution_regional(S.loo_pairs(T.cohort(spark, sf))))
+@cohort_query(sql(_LOO | dict(e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM lo UNION ALL SELECT grp, sid, r2, abs(r - q) FROM lo"), "SELECT grp, sid, region, round(sum(d), 6) AS rc FROM e GROUP BY ALL"))
+def loo_regional(spark, sf, y):
+    return rounded(S.contribution_regional(S.loo_pairs(y)))
 
 
-@query(sql(_LOO, "SELECT grp, sid, round(1 - corr(r, q), 6) AS ic FROM lo GROUP BY ALL"))
-def loo_global(spark, sf):
-    return rounded(S.contribution_global(S.loo_pairs(T.cohort(spark, sf))))
+@cohort_query(sql(_LOO, "SELECT grp, sid, round(1 - corr(r, q), 6) AS ic FROM lo GROUP BY ALL"))
+def loo_global(spark, sf, y):
+    return rounded(S.contribution_global(S.loo_pairs(y)))
 
 
-@query(sql(_corr_sql() | dict(b0="SELECT r1, r2, count(*) AS n, sum(a) AS sx, sum(b) AS sy, sum(a * a) AS sxx, sum(b * b) AS syy, sum(a * b) AS sxy FROM pp WHERE grp = '0' GROUP BY ALL", ao="SELECT pp.grp, sid, pp.r1, pp.r2, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r, (sxy + a * b - (sx + a) * (sy + b) / (n + 1)) / sqrt((sxx + a * a - (sx + a) * (sx + a) / (n + 1)) * (syy + b * b - (sy + b) * (sy + b) / (n + 1))) AS q FROM pp JOIN b0 USING (r1, r2) WHERE grp = '1'", e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM ao UNION ALL SELECT grp, sid, r2, abs(r - q) FROM ao"), "SELECT grp, sid, region, round(sum(d), 6) AS rc FROM e GROUP BY ALL"))
-def aop_regional(spark, sf):
-    return rounded(S.contribution_regional(S.aop_pairs(T.cohort(spark, sf), "0")))
+@cohort_query(sql(_corr_sql() | dict(b0="SELECT r1, r2, count(*) AS n, sum(a) AS sx, sum(b) AS sy, sum(a * a) AS sxx, sum(b * b) AS syy, sum(a * b) AS sxy FROM pp WHERE grp = '0' GROUP BY ALL", ao="SELECT pp.grp, sid, pp.r1, pp.r2, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r, (sxy + a * b - (sx + a) * (sy + b) / (n + 1)) / sqrt((sxx + a * a - (sx + a) * (sx + a) / (n + 1)) * (syy + b * b - (sy + b) * (sy + b) / (n + 1))) AS q FROM pp JOIN b0 USING (r1, r2) WHERE grp = '1'", e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM ao UNION ALL SELECT grp, sid, r2, abs(r - q) FROM ao"), "SELECT grp, sid, region, round(sum(d), 6) AS rc FROM e GROUP BY ALL"))
+def aop_regional(spark, sf, y):
+    return rounded(S.contribution_regional(S.aop_pairs(y, "0")))
 
 
-@query(sql(_LOO | dict(e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM lo UNION ALL SELECT grp, sid, r2, abs(r - q) FROM lo", rc="SELECT grp, sid, region, sum(d) AS rc FROM e GROUP BY ALL", ct="SELECT *, avg(rc) OVER (PARTITION BY grp, region) + 2 * stddev_samp(rc) OVER (PARTITION BY grp, region) AS cut FROM rc"), "SELECT grp, region, round(min(rc), 6) AS min, round(median(rc), 6) AS median, round(avg(rc), 6) AS mean, round(max(rc), 6) AS max, round(stddev_samp(rc), 6) AS sd, round(stddev_samp(rc) / sqrt(count(*)), 6) AS se, sum((rc > cut)::INT)::BIGINT AS outliers FROM ct GROUP BY grp, region"))
-def ic_summary(spark, sf):
-    return rounded(S.contribution_summary(S.contribution_regional(S.loo_pairs(T.cohort(spark, sf)))))
+@cohort_query(sql(_LOO | dict(e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM lo UNION ALL SELECT grp, sid, r2, abs(r - q) FROM lo", rc="SELECT grp, sid, region, sum(d) AS rc FROM e GROUP BY ALL", ct="SELECT *, avg(rc) OVER (PARTITION BY grp, region) + 2 * stddev_samp(rc) OVER (PARTITION BY grp, region) AS cut FROM rc"), "SELECT grp, region, round(min(rc), 6) AS min, round(median(rc), 6) AS median, round(avg(rc), 6) AS mean, round(max(rc), 6) AS max, round(stddev_samp(rc), 6) AS sd, round(stddev_samp(rc) / sqrt(count(*)), 6) AS se, sum((rc > cut)::INT)::BIGINT AS outliers FROM ct GROUP BY grp, region"))
+def ic_summary(spark, sf, y):
+    return rounded(S.contribution_summary(S.contribution_regional(S.loo_pairs(y))))
 
 
 @query()
@@ -691,9 +705,9 @@ def _cohort_covars(spark, sf):
 _TWO_RESID = _COHORT | dict(m="SELECT *, avg(value) OVER q AS mu, count(*) OVER q AS n FROM y WINDOW q AS (PARTITION BY grp, region)", e="SELECT *, value - mu AS e, sum((value - mu) * (value - mu)) OVER (PARTITION BY region) AS rss, count(*) OVER (PARTITION BY region) AS nn FROM m")
 
 
-@query(sql(_TWO_RESID, "SELECT grp, sid, region, round(e / sqrt((rss - e * e / (1 - 1.0::DOUBLE / n)) / (nn - 3) * (1 - 1.0::DOUBLE / n)), 6) AS value FROM e"))
-def residuals_group(spark, sf):
-    return rounded(S.residuals(T.cohort(spark, sf), _cohort_covars(spark, sf)))
+@cohort_query(sql(_TWO_RESID, "SELECT grp, sid, region, round(e / sqrt((rss - e * e / (1 - 1.0::DOUBLE / n)) / (nn - 3) * (1 - 1.0::DOUBLE / n)), 6) AS value FROM e"))
+def residuals_group(spark, sf, y):
+    return rounded(S.residuals(y, _cohort_covars(spark, sf)))
 
 
 @query()
@@ -701,14 +715,14 @@ def residuals_by_hemisphere(spark, sf):
     return rounded(S.residuals(T.cohort(spark, sf), _cohort_covars(spark, sf), by_group=True, hemi_mean=True))
 
 
-@query(sql(_COHORT, "SELECT grp, sid, region, value FROM y WHERE abs(value) > (SELECT abs(avg(value) + 2 * stddev_samp(value)) FROM y)"))
-def residual_outliers(spark, sf):
-    return S.residual_outliers(T.cohort(spark, sf).drop("hemi"))
+@cohort_query(sql(_COHORT, "SELECT grp, sid, region, value FROM y WHERE abs(value) > (SELECT abs(avg(value) + 2 * stddev_samp(value)) FROM y)"))
+def residual_outliers(spark, sf, y):
+    return S.residual_outliers(y.drop("hemi"))
 
 
-@query(sql(_COHORT | dict(q="SELECT *, row_number() OVER (PARTITION BY region ORDER BY value, sid) AS r, count(*) OVER (PARTITION BY region) AS n FROM y"), "SELECT grp, sid, region, value, round((r - CASE WHEN n <= 10 THEN 0.375::DOUBLE ELSE 0.5::DOUBLE END) / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375::DOUBLE ELSE 0.5::DOUBLE END), 6) AS position FROM q"))
-def residual_qq(spark, sf):
-    return rounded(S.qq(T.cohort(spark, sf).drop("hemi")))
+@cohort_query(sql(_COHORT | dict(q="SELECT *, row_number() OVER (PARTITION BY region ORDER BY value, sid) AS r, count(*) OVER (PARTITION BY region) AS n FROM y"), "SELECT grp, sid, region, value, round((r - CASE WHEN n <= 10 THEN 0.375::DOUBLE ELSE 0.5::DOUBLE END) / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375::DOUBLE ELSE 0.5::DOUBLE END), 6) AS position FROM q"))
+def residual_qq(spark, sf, y):
+    return rounded(S.qq(y.drop("hemi")))
 
 
 @query()

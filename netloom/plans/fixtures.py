@@ -108,10 +108,12 @@ def strengths(spark: SparkSession, sf: str) -> DataFrame:
     return grid.join(both, ["sid", "v"], "left").select(F.format_string("r%02d", "v").alias("region"), "sid", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
-def cohort(spark: SparkSession, sf: str, dims: int = 16, n_groups: int = 2) -> DataFrame:
-    """grp, sid, region, value, hemi of the embeddings' first dimensions."""
-    e = read(spark, sf, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, dims)).alias("d", "x"))
-    return e.select((F.col("label") % n_groups).cast("string").alias("grp"), F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("sid"), F.format_string("d%02d", F.col("d") + 1).alias("region"), F.round(F.col("x").cast("double"), 4).alias("value"), F.when(F.col("d") < dims / 2, "l").otherwise("r").alias("hemi"))
+def cohort(spark: SparkSession, sf: str, dims: int | None = None, n_groups: int = 2) -> DataFrame:
+    """grp, sid, region, value, hemi of the embeddings' dimensions: all, or the first `dims`."""
+    e = read(spark, sf, "embeddings")
+    x = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
+    e = e.select("vec_id", "label", F.size(x).alias("dims"), F.posexplode(x).alias("d", "x"))
+    return e.select((F.col("label") % n_groups).cast("string").alias("grp"), F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("sid"), F.format_string("d%02d", F.col("d") + 1).alias("region"), F.round(F.col("x").cast("double"), 4).alias("value"), F.when(F.col("d") < F.col("dims") / 2, "l").otherwise("r").alias("hemi"))
 
 
 def supplier_graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

@@ -54,6 +54,20 @@ def test_has_rows(spark, name):
     assert df.columns and df.limit(1).count() <= 1
 
 
+def test_cohort_has_all_dimensions(spark):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").select("label", "embedding").collect()
+    n = len(rows[0]["embedding"])
+    got = {(r["grp"], r["r1"], r["r2"]): r["r"] for r in catalogue.queries()["corr_pearson_all"](spark, SF).collect()}
+    assert n == 64 and len(got) == 2 * n * (n - 1) // 2
+    for g in (0, 1):
+        want = np.corrcoef(np.round([r["embedding"] for r in rows if r["label"] % 2 == g], 4), rowvar=False)
+        assert all(abs(got[str(g), f"d{i + 1:02d}", f"d{j + 1:02d}"] - want[i, j]) < 1e-5 for i in range(n) for j in range(i + 1, n))
+    regions = {r["region"] for r in catalogue.queries()["residuals_by_hemisphere"](spark, SF).select("region").distinct().collect()}
+    assert regions >= {f"d{i + 1:02d}" for i in range(n)}
+
+
 def test_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SF}/events.parquet").select("ts", (F.col("user_id") % 20).alias("a"), (F.col("user_id") % 7).alias("b"), "value")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
