@@ -10,14 +10,15 @@
    neighbour on its host whose path shares the longer prefix with its own (the one before it
    if they tie). The lines of a pair are aligned by longest common subsequence, and the
    lines that both have are template: they go. Where two pages agree in over `COPIES` of
-   their characters they are copies, not two fillings of one template, and keep their lines.
+   their characters, so that nearly nothing is left, they are copies, not two fillings of one
+   template, and keep their lines. Articles so short beside their template keep it too.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by a line feed. Null or empty html gives an empty text, a null url an empty host and
 path. Rows keep their number; repeated rows are copies of each other. Hosts may hold any
 share of the pages: pages are dealt by ranges of (host, path), so a large host spreads over
-many tasks; the first and the last page of a range look for their neighbour on their own
-side only. Other columns are not read.
+many tasks; each range is handed the last page before it and the first one after it, so that
+every page sees both its neighbours at any size. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import chunks, staged
 
-COPIES = 0.5
+COPIES = 0.95  # that is, nearly nothing is left unshared
 PARTITION_PAGES = 20_000
 
 _TOKEN = re.compile(
@@ -211,14 +212,15 @@ def _prefix(a: str, b: str) -> int:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Differences sorted pages; three of them are held at a time, and a batch."""
+    """Differences the sorted pages of each part; three of them are held at a time, and a
+    batch. Pages lent by another part are only looked at."""
 
     def rows():
         for part in batches:
-            yield from zip(*(part.column(i).to_pylist() for i in range(5)))
+            yield from zip(*(part.column(i).to_pylist() for i in range(7)))
 
     def clean(before, page, after):
-        near = [x for x in (before, after) if x is not None and x[2] == page[2]]
+        near = [x for x in (before, after) if x is not None and x[2] == page[2] and x[5] == page[5]]
         if not near:
             return page[4]
         return unlike(page[4], max(near, key=lambda x: _prefix(x[3], page[3]))[4])
@@ -230,17 +232,29 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = page = None
     done: list = []
     for after in rows():
-        if page is not None:
+        if page is not None and not page[6]:
             done.append((page[0], page[1], "\n".join(clean(before, page, after))))
         before, page = page, after
         if len(done) >= 500:
             yield pack(done)
             done = []
-    if page is not None:
+    if page is not None and not page[6]:
         done.append((page[0], page[1], "\n".join(clean(before, page, None))))
+    if done:
         yield pack(done)
 
 
+def _with_neighbours(dealt: DataFrame) -> DataFrame:
+    """Pages dealt by ranges, and with `lent` the edge pages of the parts beside theirs."""
+    dealt = staged(dealt.withColumn("part", F.spark_partition_id()))
+    page = F.struct("host", "path", "page_id", "url", "lines")
+    ends = dealt.groupBy("part").agg(F.min(page).alias("first"), F.max(page).alias("last"))
+    by = Window.orderBy("part")  # a row a part
+    ends = ends.select("first", "last", F.lag("part").over(by).alias("before"), F.lead("part").over(by).alias("after"))
+    lent = ends.select("first.*", F.col("before").alias("part")).unionByName(ends.select("last.*", F.col("after").alias("part"))).where("part IS NOT NULL")
+    return dealt.withColumn("lent", F.lit(False)).unionByName(lent.withColumn("lent", F.lit(True)))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each of pages(page_id, url, html)."""
     parsed = staged(_parse(pages))
@@ -251,7 +265,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(where, r"^[^/?#]*([^?#]*)", 1)
     rest = rest.select("page_id", "url", host.alias("host"), path.alias("path"), "lines")
     n = max(1, rest.count() // PARTITION_PAGES + 1)
-    rest = rest.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
+    rest = _with_neighbours(rest.repartitionByRange(n, "host", "path", "page_id"))
+    rest = rest.select("page_id", "url", "host", "path", "lines", "part", "lent").repartitionByRange(n, "part")
+    rest = rest.sortWithinPartitions("part", "host", "path", "page_id", "url", "lines")
     differenced = rest.mapInArrow(_pairs, "page_id bigint, url string, text string")
     return article.unionByName(differenced).withColumn("n_chars", F.length("text").cast("bigint"))
 

@@ -45,3 +45,18 @@ def test_differencing(spark):
     assert got[10].text == "" and got[11].n_chars == 0
     assert "alone" in got[12].text and got[20].text.count("\n") == 2
     assert H.main_text(spark.createDataFrame([], "page_id bigint, url string, html string")).collect() == []
+
+
+def test_short_articles_lose_a_long_template():
+    a, b = (["a menu of many things " * 3, f"the short story of {x}", "an imprint, and more of it"] for x in ("one", "two"))
+    assert H.unlike(a, b) == ["the short story of one"]
+    assert H.unlike(a, list(a)) == a and H.unlike(["x" * 500, "at 12:03"], ["x" * 500, "at 12:04"]) == ["x" * 500, "at 12:03"]
+
+
+def test_pages_see_neighbours_over_ranges(spark, monkeypatch):
+    """Hosts of two pages, each page a range of its own, are differenced as in one range."""
+    rows = [(i, f"http://h{i // 2}.example/a/{i}", f"<div>Menu of host {i // 2}</div><div>the story number {i} is told at length here, {'x' * i}</div>") for i in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").cache()
+    monkeypatch.setattr(H, "PARTITION_PAGES", 1)
+    got = {r.page_id: r.text for r in H.main_text(df).collect()}
+    assert len(got) == len(rows) and all(t.startswith(f"the story number {i} ") and "Menu" not in t for i, t in got.items())
