@@ -138,8 +138,8 @@ def loo_pairs(y: DataFrame) -> DataFrame:
     sums less the subject's own terms."""
     p = pair_sums(y)
     a, b = F.col("a"), F.col("b")
-    w = Window.partitionBy("grp", "r1", "r2")
-    rows = p.withColumns({"n": F.count(F.lit(1)).over(w), "sx": F.sum(a).over(w), "sy": F.sum(b).over(w), "sxx": F.sum(a * a).over(w), "syy": F.sum(b * b).over(w), "sxy": F.sum(a * b).over(w)})
+    sums = [F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")]
+    rows = p.join(p.groupBy("grp", "r1", "r2").agg(*sums), ["grp", "r1", "r2"])  # a row a pair: broadcast where it is small, and no window over all subjects
     full = _r(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
     less = _r(F.col("n") - 1, F.col("sx") - a, F.col("sy") - b, F.col("sxx") - a * a, F.col("syy") - b * b, F.col("sxy") - a * b)
     return rows.select("grp", "sid", "r1", "r2", full.alias("r"), less.alias("r_other"))
@@ -195,9 +195,16 @@ def table(y: DataFrame) -> tuple[list[str], list[str], list[str], np.ndarray]:
     return [r["grp"] for r in rows], [r["sid"] for r in rows], [x["region"] for x in rows[0]["x"]], np.array([[x["value"] for x in r["x"]] for r in rows], float)
 
 
+def mirrored(r: np.ndarray) -> np.ndarray:
+    """`r` with its lower triangle on both sides: products of matrices may differ in the last
+    bit between the two, and a cut-off would keep one direction of a pair only."""
+    low = np.tril(r, -1)
+    return low + low.T + np.diag(np.diag(r))
+
+
 def density_graphs(x: np.ndarray, densities, weighted: bool = False) -> list[np.ndarray]:
     """Correlation graphs of subjects x regions at each density."""
-    r = np.corrcoef(x, rowvar=False)
+    r = mirrored(np.corrcoef(x, rowvar=False))
     n = len(r)
     lower = np.sort(r[np.tril_indices(n, -1)])
     out = []
@@ -312,7 +319,7 @@ def hqs_graphs(y: DataFrame, n: int = 100, density: float = 0.2, seed: int = 0)
             out = []
             for r in b.id.tolist():
                 for k, (g, c) in enumerate(shared.value.items()):
-                    m = K.hqs(c, [seed, r, k])
+                    m = mirrored(K.hqs(c, [seed, r, k]))
                     low = np.sort(m[np.tril_indices(len(m), -1)])
                     a = ((m > low[max(int(len(low) - density * len(low)) - 1, 0)]) & ~np.eye(len(m), dtype=bool)).astype(float)
                     gr = M.Graph(a)

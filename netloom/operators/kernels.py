@@ -380,18 +380,23 @@ def hubness(strength, between, cluster, length, keep: float = 0.2) -> np.ndarray
 
 
 def louvain(w: np.ndarray, seed: int = 0, gain=None) -> np.ndarray:
+    """Modularity is defined on symmetric weights, so `w` is mirrored first: on a matrix
+    whose triangles differ, single moves have no common potential and may go in circles. A
+    level ends when a whole pass over its vertices gains next to nothing."""
     n = len(w)
     member = np.arange(n)
-    m = w.astype(float).copy()
+    m = w.astype(float)
+    m = (m + m.T) / 2
     rng = np.random.default_rng(seed)
     while m.sum() > 0:
         size, total, s = len(m), m.sum(), m.sum(1)
+        least = 1e-12 * total
         at = np.arange(size)
         mass = s.copy()
         order = rng.permutation(size)
-        moved_any, moved = False, True
-        while moved:
-            moved = False
+        moved_any, gained = False, np.inf
+        while gained > least * size:
+            gained = 0.0
             for i in order:
                 old = at[i]
                 link = np.bincount(at, m[i], size)
@@ -401,12 +406,13 @@ def louvain(w: np.ndarray, seed: int = 0, gain=None) -> np.ndarray:
                 score[np.bincount(at, minlength=size) == 0] = -np.inf
                 score[old] = link[old] - mass[old] * s[i] / total
                 new = int(score.argmax())
-                if score[new] <= score[old] + 1e-12:
+                if score[new] <= score[old] + least:
                     new = old
                 mass[new] += s[i]
                 if new != old:
                     at[i] = new
-                    moved = moved_any = True
+                    moved_any = True
+                    gained += score[new] - score[old]
         if not moved_any:
             break
         names, at = np.unique(at, return_inverse=True)
@@ -681,43 +687,61 @@ def degree_sequence(w: np.ndarray, seed=0) -> np.ndarray:
     return rewire(w, seed, connected=True)
 
 
-def clustered(w: np.ndarray, target: float, seed=0, trials: int | None = None, rounds: int = 100) -> np.ndarray:
-    """Rewires, then takes swaps that close triangles while transitivity is under target."""
+def _closing_swap(a: np.ndarray, many: np.ndarray, rng: np.random.Generator) -> tuple[int, int, int, int] | None:
+    """A draw of vertices (u, p, v, q): u and v are linked to one vertex but not to each
+    other, p and q hang on u and v and aren't linked either. Swapping u-p, v-q for u-v, p-q
+    keeps all degrees and closes the triangle over u and v. None if the draw has no such."""
+    x = rng.choice(many)
+    ends = [int(y) for y in np.flatnonzero(a[x]) if a[y].sum() > 1]
+    if len(ends) < 2:
+        return None
+    u, v = (int(y) for y in rng.choice(ends, 2, replace=False))
+    if a[u, v]:
+        return None
+    of_u = [y for y in np.flatnonzero(a[u]) if y not in (x, v)]
+    if not of_u:
+        return None
+    p = int(rng.choice(of_u))
+    of_v = [y for y in np.flatnonzero(a[v]) if y not in (x, u, p)]
+    if not of_v:
+        return None
+    q = int(rng.choice(of_v))
+    return None if a[p, q] else (u, p, v, q)
+
+
+def clustered(w: np.ndarray, target: float, seed=0, trials: int | None = None, swaps: int = 100, attempts: int = 2000) -> np.ndarray:
+    """Rewires, then takes swaps that raise transitivity, `swaps` at most, until it is
+    `target` or more. A swap is looked for in up to `attempts` draws; if none is found the
+    graph stays as it is (`transitivity` of the result tells whether the target was met)."""
     a, rng = rewire(w, seed, trials), np.random.default_rng([seed, 1] if np.isscalar(seed) else [*seed, 1])
     c = transitivity(a)
     many = np.flatnonzero(a.sum(1) > 1)
-    for _ in range(rounds):
-        if not len(many) or c >= target:
-            break
-        x = rng.choice(many)
-        near = [y for y in np.flatnonzero(a[x]) if a[y].sum() > 1]
-        if len(near) < 2:
-            continue
-        y1, y2 = rng.choice(near, 2, replace=False)
-        z1 = np.setdiff1d(np.flatnonzero(a[y1]), [x, y2])
-        if not len(z1):
-            continue
-        z1 = rng.choice(z1)
-        z2 = np.setdiff1d(np.flatnonzero(a[y2]), [x, y1, z1])
-        if not len(z2):
+    taken = tried = 0
+    while len(many) and c < target and taken < swaps and tried < attempts:
+        tried += 1
+        if (found := _closing_swap(a, many, rng)) is None:
             continue
-        z2 = rng.choice(z2)
-        if a[y1, y2] or a[z1, z2]:
-            continue
-        b = a.copy()
-        b[y1, z1] = b[z1, y1] = b[y2, z2] = b[z2, y2] = 0
-        b[y1, y2] = b[y2, y1] = b[z1, z2] = b[z2, z1] = 1
-        if (new := transitivity(b)) > c:
-            a, c = b, new
+        u, p, v, q = found
+        a[[u, p, v, q], [p, u, q, v]] = 0
+        a[[u, v, p, q], [v, u, q, p]] = 1
+        if (new := transitivity(a)) > c:
+            c, taken, tried = new, taken + 1, 0
+        else:
+            a[[u, v, p, q], [v, u, q, p]] = 0
+            a[[u, p, v, q], [p, u, q, v]] = 1
     return a
 
 
 def hqs(cov: np.ndarray, seed=0) -> np.ndarray:
-    """A random correlation matrix whose entries match a covariance matrix's moments."""
+    """A random correlation matrix whose entries match a covariance matrix's moments (sample
+    variance of the off-diagonal ones). A mean below zero has no real square root, so such
+    covariances have no draw."""
     off = cov[~np.eye(len(cov), dtype=bool)]
-    e, v, mean = off.mean(), off.var(), np.diag(cov).mean()
+    e, v, mean = off.mean(), off.var(ddof=1), np.diag(cov).mean()
+    if e < 0:
+        return np.full(cov.shape, np.nan)
     m = max(2, int((mean**2 - e**2) // v)) if v > 0 else 2
-    centre = np.sqrt(max(e, 0) / m)
+    centre = np.sqrt(e / m)
     spread = np.sqrt(max(-(centre**2) + np.sqrt(centre**4 + v / m), 0))
     f = centre + spread * np.random.default_rng(seed).standard_normal((len(cov), m))
     s = f @ f.T

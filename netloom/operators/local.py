@@ -168,16 +168,18 @@ def rich_club(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """gid, k, phi, phi_wt, n_k, e_k for all k from 1 to the maximum degree. phi: density of
     the subgraph of degrees over k; phi_wt: its weight over the e_k largest weights."""
     d = degree_strength(vertices, edges).select("gid", "v", "degree")
-    top = d.groupBy("gid").agg(F.max("degree").alias("kmax")).where("kmax >= 1")
-    ks = top.select("gid", F.explode(F.sequence(F.lit(1), F.col("kmax").cast("int"))).alias("k"))
-    n = ks.join(d, "gid", "left").groupBy("gid", "k").agg(F.sum((F.col("degree") > F.col("k")).cast("int")).alias("n_k"))
     e = edges.join(d.select("gid", F.col("v").alias("src"), F.col("degree").alias("a")), ["gid", "src"]).join(d.select("gid", F.col("v").alias("dst"), F.col("degree").alias("b")), ["gid", "dst"])
-    e = e.select("gid", F.least("a", "b").alias("least"), "weight")
-    ek = ks.join(e, "gid", "left").groupBy("gid", "k").agg(F.sum((F.col("least") > F.col("k")).cast("int")).alias("e_k"), F.sum(F.when(F.col("least") > F.col("k"), F.col("weight")).otherwise(0.0)).alias("w_k"))
+    # counts by degree, then sums over all higher ones: a row a degree, not one a vertex and k
+    by_v = d.groupBy("gid", F.col("degree").alias("k")).agg(F.count("*").alias("n"))
+    by_e = e.groupBy("gid", F.least("a", "b").alias("k")).agg(F.count("*").alias("e"), F.sum("weight").alias("w"))
+    ks = by_v.groupBy("gid").agg(F.max("k").alias("kmax")).where("kmax >= 1").select("gid", F.explode(F.sequence(F.lit(0), F.col("kmax").cast("int"))).alias("k"))
+    higher = Window.partitionBy("gid").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = ks.join(by_v, ["gid", "k"], "left").join(by_e, ["gid", "k"], "left")
+    rows = rows.select("gid", "k", *(F.coalesce(F.sum(F.coalesce(c, F.lit(z))).over(higher), F.lit(z)).alias(o) for c, o, z in (("n", "n_k", 0), ("e", "e_k", 0), ("w", "w_k", 0.0)))).where("k >= 1")
     ranked = edges.select("gid", "weight", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("weight"))).alias("r"))
     prefix = ranked.select("gid", "r", F.sum("weight").over(Window.partitionBy("gid").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)).alias("top"))
     prefix = prefix.select("gid", F.col("r").cast("bigint").alias("e_k"), "top")
-    out = n.join(ek, ["gid", "k"]).join(prefix, ["gid", "e_k"], "left")
+    out = rows.join(prefix, ["gid", "e_k"], "left")
     return out.select("gid", "k", "n_k", "e_k", F.when(F.col("n_k") > 1, F.try_divide(2.0 * F.col("e_k"), F.col("n_k") * (F.col("n_k") - 1))).alias("phi"), F.try_divide(F.col("w_k"), F.col("top")).alias("phi_wt"))
 
 

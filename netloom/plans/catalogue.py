@@ -21,7 +21,6 @@ from netloom.streaming.edges import windowed_edges
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-SQL_DIMS = 16  # of the embeddings, in the SQL of the cohort's queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -43,12 +42,10 @@ def query(sql: str | None = None):
 
 
 def cohort_query(sql: str):
-    """A query of the cohort (spark, sf, y) is registered twice: over the dimensions of its
-    SQL, and with the suffix _all over all dimensions, without SQL."""
+    """A query of the cohort (spark, sf, y): every row and every dimension."""
 
     def add(fn):
-        _QUERIES[fn.__name__] = lambda spark, sf: fn(spark, sf, T.cohort(spark, sf, SQL_DIMS))
-        _QUERIES[f"{fn.__name__}_all"] = lambda spark, sf: fn(spark, sf, T.cohort(spark, sf))
+        _QUERIES[fn.__name__] = lambda spark, sf: fn(spark, sf, T.cohort(spark, sf))
         _SQL[fn.__name__] = sql
         return fn
 
@@ -627,7 +624,7 @@ def bh_fdr(spark, sf):
 # structural covariance
 
 _COHORT = dict(
-    co="SELECT (label % 2)::VARCHAR AS grp, lpad(vec_id::VARCHAR, 6, '0') AS sid, unnest(embedding[1:16]) AS x, unnest(generate_series(1, 16)) AS d FROM embeddings",
+    co="SELECT (label % 2)::VARCHAR AS grp, lpad(vec_id::VARCHAR, 6, '0') AS sid, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings",
     y="SELECT grp, sid, 'd' || lpad(d::VARCHAR, 2, '0') AS region, round(x::DOUBLE, 4) AS value FROM co",
 )
 
@@ -650,7 +647,7 @@ def corr_spearman(spark, sf, y):
     return rounded(S.correlations(y, "spearman"))
 
 
-@cohort_query(sql(_corr_sql() | dict(rk="SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r) AS rn FROM corr_", ct="SELECT grp, density, r AS cut FROM rk, (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (1.0::DOUBLE)) d(density) WHERE rn = greatest(floor(120 - 120 * density), 1)"), "SELECT grp, r1, r2, n, round(r, 6) AS r, density FROM corr_ JOIN ct USING (grp) WHERE r > cut"))
+@cohort_query(sql(_corr_sql() | dict(rk="SELECT *, row_number() OVER (PARTITION BY grp ORDER BY r) AS rn, count(*) OVER (PARTITION BY grp)::DOUBLE AS e FROM corr_", ct="SELECT grp, density, r AS cut FROM rk, (VALUES (0.1::DOUBLE), (0.3::DOUBLE), (1.0::DOUBLE)) d(density) WHERE rn = greatest(floor(e - e * density), 1)"), "SELECT grp, r1, r2, n, round(r, 6) AS r, density FROM corr_ JOIN ct USING (grp) WHERE r > cut"))
 def corr_density_graph(spark, sf, y):
     return rounded(S.correlation_edges(S.correlations(y), T.doubles(spark, "density", 0.1, 0.3, 1.0)))
 

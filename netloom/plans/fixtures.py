@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.operators import matrices as X
+from netloom.storage import staged
 
 SPLIT = "1998-05"
 
@@ -54,7 +55,7 @@ def second_weights(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str, by: str = "max") -> DataFrame:
     """The dense grid of pairs i < j of every month."""
-    c = conn(spark, sf)
+    c = staged(conn(spark, sf))  # a row a month and pair of nations, read twice
     return X.dense(X.symmetrize(c, by), months(spark, sf), regions(spark, sf))
 
 
@@ -71,11 +72,12 @@ def doubles(spark: SparkSession, name: str, *values: float) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf: str, density: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """vertices (gid, v) and edges (gid, src, dst, weight) of every month at a density."""
+    """vertices (gid, v) and edges (gid, src, dst, weight) of every month at a density. Both
+    are written once, so that a measure that uses them often scans lineitem once."""
     kept = X.threshold_density(pairs(spark, sf), doubles(spark, "density", density))
     e = kept.select(F.col("sid").alias("gid"), F.col("i").alias("src"), F.col("j").alias("dst"), F.col("w").alias("weight"))
     v = months(spark, sf).select(F.col("sid").alias("gid")).crossJoin(F.broadcast(regions(spark, sf).select("v")))  # an atlas
-    return v, e
+    return staged(v), staged(e)
 
 
 def sweep(spark: SparkSession, sf: str, *densities: float) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +87,7 @@ def sweep(spark: SparkSession, sf: str, *densities: float) -> tuple[DataFrame, D
     kept = X.threshold_density(pairs(spark, sf), d)
     e = kept.select(gid.alias("gid"), "sid", "density", F.col("i").alias("src"), F.col("j").alias("dst"), F.col("w").alias("weight"))
     v = months(spark, sf).crossJoin(F.broadcast(d)).crossJoin(F.broadcast(regions(spark, sf).select("v"))).select(gid.alias("gid"), "sid", "density", "v")
-    return v, e
+    return staged(v), staged(e)
 
 
 def covars(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 def windowed_edges(events: DataFrame, ts: str, src: str, dst: str, weight: str, width: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """gid (the window's start), src < dst, weight, n of events(ts, src, dst, weight). Loops
     are left out."""
+    if dict(events.dtypes)[ts] == "timestamp_ntz":  # watermarks need an instant: the session's zone gives it
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))
     e = events.withWatermark(ts, late).where(F.col(src) != F.col(dst))
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     pair = [F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")]

@@ -106,7 +106,7 @@ def test_random_graphs_keep_degrees():
     b = K.rewire(a, 1)
     assert (b.sum(0) == a.sum(0)).all() and (b == b.T).all() and not np.diag(b).any() and (b != a).any()
     assert (K.rewire(a, 1) == b).all()
-    c = K.clustered(a, 0.9, 1, rounds=5)
+    c = K.clustered(a, 0.9, 1, swaps=5)
     assert (c.sum(0) == a.sum(0)).all()
 
 
@@ -154,3 +154,37 @@ def _paths(a, d, x, y):
     for z in np.flatnonzero(a[x]):
         if d[z, y] == d[x, y] - 1:
             yield from _paths(a, d, z, y)
+
+
+def test_louvain_ends_on_asymmetric_matrices():
+    rng = np.random.default_rng(4)
+    for n in (6, 15, 30):
+        for _ in range(40):
+            a = (rng.random((n, n)) < 0.25).astype(float)
+            np.fill_diagonal(a, 0)
+            for scale in (1.0, 1e12, 1e-9):
+                got = K.louvain(a * scale)
+                assert len(got) == n and (got == K.louvain((a + a.T) / 2 * scale)).all()
+
+
+def test_density_graphs_are_symmetric():
+    from netloom.operators.covariance import density_graphs
+
+    x = np.random.default_rng(5).standard_normal((60, 40))
+    for g in density_graphs(x, [0.1, 0.2, 0.5]):
+        assert (g == g.T).all() and not np.diag(g).any()
+
+
+def test_clustered_reaches_its_target():
+    rng = np.random.default_rng(6)
+    a = np.triu(rng.random((40, 40)) < 0.15, 1).astype(float)
+    a += a.T
+    b = K.clustered(a, 0.3, 1)
+    assert K.transitivity(b) >= 0.3 > K.transitivity(a) and (b.sum(0) == a.sum(0)).all() and (b == b.T).all()
+
+
+def test_hqs_moments():
+    c = np.cov(np.random.default_rng(7).standard_normal((200, 1)) + np.random.default_rng(8).standard_normal((200, 30)), rowvar=False)
+    r = K.hqs(c, 1)
+    assert np.allclose(np.diag(r), 1) and np.allclose(r, r.T)
+    assert np.isnan(K.hqs(np.eye(3) - 0.1, 1)).all()  # a mean below zero has no draw
