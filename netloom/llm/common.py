@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,34 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.storage import shared_dir, staged
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-_local_dir: list[str] = []
+__all__ = ["chunks", "content_key", "documents", "packed", "shared_dir", "staged", "unpacked"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-    Where the setting is unset (tests on one machine) a temporary folder serves."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="netloom-"))
-        atexit.register(shutil.rmtree, _local_dir[0], True)
-    return f"file://{_local_dir[0]}"
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: it cuts the lineage,
-    survives lost executors, and a join on what was read gets a fresh exchange on both
-    sides, so that AQE may split the partitions of a hot key."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/netloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3_000_000) -> Iterator[pa.RecordBatch]:

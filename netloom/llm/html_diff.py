@@ -1,24 +1,29 @@
-"""Main text of web pages, with nearest-URL page differencing.
-
-1. A page is cut into lines, one per block element, by one pass over its tags. Elements that
-   say what they are (nav, header, footer, aside, form, script, style, ..., or a class, id or
-   role such as `sidebar` or `cookie-notice`) are left out with all they hold.
-2. A page that marks its article (`article`, `main`, role=main, itemprop=articleBody) is
-   done: its lines are those of the article. They are not differenced, so that an article
-   that two URLs carry, or a sentence that two articles share, stays whole.
-3. Pages without such a mark are ordered by host and URL path; each is paired with the
-   neighbour on its host whose path shares the longer prefix with its own (the one before it
-   if they tie). The lines of a pair are aligned by longest common subsequence, and the
-   lines that both have are template: they go. Where two pages agree in over `COPIES` of
-   their characters, so that nearly nothing is left, they are copies, not two fillings of one
-   template, and keep their lines. Articles so short beside their template keep it too.
+"""Main text of web pages by nearest-URL page differencing.
+
+1. A page is cut into lines, one per block element, by one pass over its tags. Every line is
+   numbered and knows where it stands: in an element that says it is furniture (nav, header,
+   footer, aside, form, script, style, ..., or a class, id or role such as `sidebar` or
+   `cookie-notice`), in a marked article (`article`, `main`, role=main,
+   itemprop=articleBody), or in neither.
+2. Of the pages of a host those with the same lines are one. They are ordered by URL path;
+   each is paired with the two of its four neighbours in that order whose paths share the
+   longest prefix with its own (ties: the nearer, then the earlier one).
+3. The lines of a page and of each partner are aligned by longest common subsequence, over
+   all lines. Lines shared with every partner are template: they are deleted. A near-copy
+   next door shares its article with one partner only, so the article stays; on a host of two
+   pages the one partner decides. If nothing would be left the lines stay.
+4. Two refinements by tags: lines inside a marked article are never deleted, so that an
+   article that several URLs carry, or a sentence that two articles share, stays whole; and
+   lines in furniture go even where they differ from page to page, as menus do.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by a line feed. Null or empty html gives an empty text, a null url an empty host and
-path. Rows keep their number; repeated rows are copies of each other. Hosts may hold any
-share of the pages: pages are dealt by ranges of (host, path), so a large host spreads over
-many tasks; each range is handed the last page before it and the first one after it, so that
-every page sees both its neighbours at any size. Other columns are not read.
+path; repeated rows get equal results, an empty table an empty result. Other columns are not
+read. Pairing and alignment see 64-bit hashes of lines, not the text: pages are numbered in
+URL order by ranges, and neighbours meet by number, so a host of any size spreads over all
+tasks. The html itself is parsed twice and joined with the numbers of the lines to delete.
+The alignment of pages of n and m lines that both hold takes n x m / 64 steps and, split at
+the middle of the longer ones (Hirschberg), memory for n + m; a page is otherwise held once.
 """
 
 from __future__ import annotations
@@ -27,14 +32,18 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import chunks, staged
+from netloom.llm.common import chunks, content_key, staged
 
-COPIES = 0.95  # that is, nearly nothing is left unshared
+PARTNERS, REACH = 2, 2
 PARTITION_PAGES = 20_000
+ROW_BITS = 1 << 25  # of the alignment's table; longer ones are split
+FURNITURE, ARTICLE = 1, 2
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|textarea)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -49,10 +58,12 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 SHORT = set("p li dt dd option tr td th thead tbody tfoot".split())  # ended by the next block
 DROPPED = set("nav header footer aside form head title button select dialog menu object audio video canvas map fieldset".split())
 DROPPED_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar rail menu nav navbar navigation breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices alert disclaimer header masthead footer foot copyright comment comments respond reply disqus discussion share sharing social follow "
     "newsletter subscribe subscription signup login popup modal overlay related recommended recommendations widget toolbar pagination pager skip hidden".split()
 )
+#: what may stand beside such a word in one class: `site-header`, `ad-slot`, `comment-list`
+QUALIFIERS = set("site page global top bottom left right main primary secondary inner outer box bar list item items area section block slot unit wrap wrapper container content links posts form buttons icons side column col row text title".split())
 TEASERS = set("ad ads advert comment comments reply related recommended sponsored promo teaser".split())  # of article elements
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
@@ -71,9 +82,9 @@ def _kind(name: str, attributes: str, in_article: bool) -> int:
             if key == "role" and value in ("main", "article") or key == "itemprop" and value == "articlebody":
                 return 2
             if key in ("class", "id"):
-                for one in value.split():
-                    parts = _WORD.findall(one)
-                    if parts and parts[0] not in ("with", "has", "no", "is", "not"):
+                for one in value.split():  # a class counts as a whole: all its parts have to agree
+                    parts = [x for x in _WORD.findall(one) if not x.isdigit()]
+                    if all(x in DROPPED_WORDS or x in TEASERS or x in QUALIFIERS for x in parts):
                         words.update(parts)
     if name in ("article", "main"):
         return 1 if words & TEASERS else 2
@@ -82,10 +93,9 @@ def _kind(name: str, attributes: str, in_article: bool) -> int:
     return 1 if words & DROPPED_WORDS and name not in ("html", "body") else 0
 
 
-def lines(page: str | None) -> tuple[bool, list[str]]:
-    """Whether the page marks its article; the article's lines, or all that aren't
-    boilerplate."""
-    out: list[tuple[bool, str]] = []
+def lines(page: str | None) -> list[tuple[int, str]]:
+    """The page's lines, each with 1 for furniture, 2 for a marked article, 0 for neither."""
+    out: list[tuple[int, str]] = []
     text: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements that count, and their kind
     skip = article = 0
@@ -94,7 +104,7 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
     def flush() -> None:
         if text:
             if line := _SPACE.sub(" ", entities.unescape("".join(text))).strip():
-                out.append((article > 0, line))
+                out.append((FURNITURE if skip or header and not heading else ARTICLE if article else 0, line))
             text.clear()
 
     def leave(k: int) -> None:
@@ -110,8 +120,7 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
         if name is None:
             token = m[0]
             if token[0] != "<" or token == "<":
-                if not skip and (not header or heading):
-                    text.append(token)
+                text.append(token)
             elif m[1]:
                 text.append(" ")
             continue
@@ -152,124 +161,181 @@ def lines(page: str | None) -> tuple[bool, list[str]]:
                 article += kind == 2
                 header += kind == 3
     flush()
-    marked = any(x for x, _ in out)
-    return marked, [line for x, line in out if x or not marked]
+    return out
 
 
-def common(a: list[str], b: list[str]) -> list[bool]:
-    """Which lines of `a` are in a longest common subsequence of both; bit-parallel, with
-    one row of bits kept for each line of `b`."""
-    numbers: dict[str, int] = {}
+def _sweep(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each item of `b`, a bit for each of `a` that is 0 where the longest common
+    subsequence of a[: i + 1] and the items so far is longer than that of a[:i]."""
+    places: dict[int, list[int]] = {}
     for i, line in enumerate(a):
-        numbers[line] = numbers.get(line, 0) | 1 << i
-    full, v = (1 << len(a)) - 1, (1 << len(a)) - 1
-    rows = [v]
+        places.setdefault(line, []).append(i)
+    full = v = (1 << len(a)) - 1
+    yield v
     for line in b:
-        u = v & numbers.get(line, 0)
+        bits = bytearray(len(a) // 8 + 1)  # made anew: one for each distinct line would be a square
+        for i in places.get(line, ()):
+            bits[i >> 3] |= 1 << (i & 7)
+        u = v & int.from_bytes(bits, "little")
         v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    shared, i, j = [False] * len(a), len(a), len(b)
-    size = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()  # noqa: E731  of the LCS of a[:i], b[:j]
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The longest common subsequence's length of a[:i] and b, for all i."""
+    for v in _sweep(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _align(a: list[int], b: list[int]) -> list[int]:
+    """Positions in `a` of a longest common subsequence."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > ROW_BITS and len(b) > 1:
+        mid = len(b) // 2
+        cut = int((_lengths(a, b[:mid]) + _lengths(a[::-1], b[: mid - 1 : -1])[::-1]).argmax())
+        return _align(a[:cut], b[:mid]) + [cut + i for i in _align(a[cut:], b[mid:])]
+    rows = list(_sweep(a, b))
+    shared, i, j = [], len(a), len(b)
+    size = lambda i, j: i - (rows[j] & ((1 << i) - 1)).bit_count()
     while i and j:
         if a[i - 1] == b[j - 1]:
-            shared[i - 1] = True
             i, j = i - 1, j - 1
+            shared.append(i)
         elif size(i, j) == size(i - 1, j):
             i -= 1
         else:
             j -= 1
+    return shared[::-1]
+
+
+def common(a: list, b: list) -> list[bool]:
+    """Which lines of `a` are in a longest common subsequence of both. What one of them does
+    not have, and what both begin and end with, needs no table."""
+    shared = [False] * len(a)
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        shared[low] = True
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        shared[-1 - high] = True
+        high += 1
+    in_a, in_b = set(a[low : len(a) - high]), set(b[low : len(b) - high])
+    at = [i for i in range(low, len(a) - high) if a[i] in in_b]
+    for i in _align([a[i] for i in at], [x for x in b[low : len(b) - high] if x in in_a]):
+        shared[at[i]] = True
     return shared
 
 
-def unlike(a: list[str], b: list[str]) -> list[str]:
-    """The lines of `a` without those it shares with `b`; all of them if the two are copies."""
-    shared = common(a, b)
-    same = sum(len(x) for x, s in zip(a, shared) if s)
-    if 2 * same > COPIES * (sum(map(len, a)) + sum(map(len, b))):
-        return a
-    return [x for x, s in zip(a, shared) if not s]
+def _prefix(a: str, b: str) -> int:
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
 
 
-def _parse(pages: DataFrame) -> DataFrame:
+def difference(lines: list, kinds: list[int], path: str, near: list[tuple[int, str, list]]) -> tuple[int, list[int], list[int]]:
+    """Of a page and its neighbours (steps away, path, lines): how many partners it has, the
+    lines it shares with all of them, and those of them to delete beside the furniture."""
+    partners = sorted(near, key=lambda x: (-_prefix(x[1], path), abs(x[0]), x[0]))[:PARTNERS]
+    if not partners or not lines:
+        return len(partners), [], []
+    votes = [common(lines, x[2]) for x in partners]
+    shared = [i for i, v in enumerate(zip(*votes)) if all(v)]
+    cut = {i for i in shared if not kinds[i]}
+    if all(k == FURNITURE or i in cut for i, k in enumerate(kinds)):
+        cut = set()
+    return len(partners), shared, sorted(cut)
+
+
+def _outline(pages: DataFrame) -> DataFrame:
+    """ka, kb (of the row), host, path, page_id, lines (hashes), kinds of each page."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "html"):
-            found = [lines(h) for h in part.column(2).to_pylist()]
+            found = [lines(h) for h in part.column(5).to_pylist()]
+            hashes = [[xxhash.xxh3_64_intdigest(x) - (1 << 63) for _, x in page] for page in found]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), part.column(1), pa.array([m for m, _ in found], pa.bool_()), pa.array([x for _, x in found], pa.list_(pa.string()))],
-                names=["page_id", "url", "marked", "lines"],
+                [*part.columns[:5], pa.array(hashes, pa.list_(pa.int64())), pa.array([[k for k, _ in page] for page in found], pa.list_(pa.int8()))],
+                names=["ka", "kb", "host", "path", "page_id", "lines", "kinds"],
             )
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, url string, marked boolean, lines array<string>")
+    where = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    host = F.lower(F.regexp_extract(where, r"^([^/?#]*)", 1))
+    path = F.regexp_extract(where, r"^[^/?#]*([^?#]*)", 1)
+    key = _key()
+    rows = pages.select(key["a"].alias("ka"), key["b"].alias("kb"), host.alias("host"), path.alias("path"), F.col("page_id").cast("bigint").alias("page_id"), "html")
+    return rows.mapInArrow(run, "ka bigint, kb bigint, host string, path string, page_id bigint, lines array<bigint>, kinds array<tinyint>")
+
+
+def _key() -> F.Column:
+    return content_key(F.col("page_id"), F.col("url"), F.col("html"))
+
+
+def _numbered(pages: DataFrame) -> DataFrame:
+    """`pages` in the order of (host, path, page_id), with `at` counting from 0 without gaps:
+    ranges are sorted each on its own, and a range begins where the ones before it end."""
+    n = max(1, pages.count() // PARTITION_PAGES + 1)
+    rows = pages.repartitionByRange(n, "host", "path", "page_id", "ca").sortWithinPartitions("host", "path", "page_id", "ca", "cb")
+    rows = staged(rows.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("id", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    starts = staged(sizes.select("part", F.coalesce(before, F.lit(0)).alias("start")))
+    rows = rows.withColumn("part", part).join(starts, "part")
+    return rows.withColumn("at", F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "start", "id")
+
+
+def differenced(outline: DataFrame) -> DataFrame:
+    """host, ca, cb (the lines' hashes), n_partners, shared, cut of each distinct page of the
+    outline."""
+    one = F.min(F.struct("path", "page_id")).alias("one")
+    pages = outline.groupBy("host", "ca", "cb").agg(one, F.first("lines").alias("lines"), F.first("kinds").alias("kinds"))
+    pages = staged(_numbered(pages.select("host", "one.path", "one.page_id", "ca", "cb", "lines", "kinds")))
+    steps = [k for k in range(-REACH, REACH + 1) if k]
+    seen = F.explode(F.array(*(F.struct((F.col("at") - k).alias("at"), F.lit(k).alias("step")) for k in steps)))
+    near = pages.select(seen.alias("to"), "host", "path", "lines").select("to.at", "host", F.struct("to.step", "path", "lines").alias("x"))
+    near = near.groupBy("at", "host").agg(F.collect_list("x").alias("near"))  # four at most
+    rows = pages.join(near, ["at", "host"], "left").select("host", "ca", "cb", "path", "lines", "kinds", "near")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
+                paths, texts, kinds, near = (part.column(i).to_pylist() for i in range(3, 7))
+                done = [difference(x, k, p, [(y["step"], y["path"], y["lines"]) for y in n or ()]) for p, x, k, n in zip(paths, texts, kinds, near)]
+                arrays = [pa.array([d[0] for d in done], pa.int32()), *(pa.array([d[i] for d in done], pa.list_(pa.int32())) for i in (1, 2))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *arrays], names=["host", "ca", "cb", "n_partners", "shared", "cut"])
 
-def _prefix(a: str, b: str) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+    return rows.mapInArrow(run, "host string, ca bigint, cb bigint, n_partners int, shared array<int>, cut array<int>")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Differences the sorted pages of each part; three of them are held at a time, and a
-    batch. Pages lent by another part are only looked at."""
-
-    def rows():
-        for part in batches:
-            yield from zip(*(part.column(i).to_pylist() for i in range(7)))
-
-    def clean(before, page, after):
-        near = [x for x in (before, after) if x is not None and x[2] == page[2] and x[5] == page[5]]
-        if not near:
-            return page[4]
-        return unlike(page[4], max(near, key=lambda x: _prefix(x[3], page[3]))[4])
-
-    def pack(done):
-        ids, urls, texts = zip(*done)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    before = page = None
-    done: list = []
-    for after in rows():
-        if page is not None and not page[6]:
-            done.append((page[0], page[1], "\n".join(clean(before, page, after))))
-        before, page = page, after
-        if len(done) >= 500:
-            yield pack(done)
-            done = []
-    if page is not None and not page[6]:
-        done.append((page[0], page[1], "\n".join(clean(before, page, None))))
-    if done:
-        yield pack(done)
-
-
-def _with_neighbours(dealt: DataFrame) -> DataFrame:
-    """Pages dealt by ranges, and with `lent` the edge pages of the parts beside theirs."""
-    dealt = staged(dealt.withColumn("part", F.spark_partition_id()))
-    page = F.struct("host", "path", "page_id", "url", "lines")
-    ends = dealt.groupBy("part").agg(F.min(page).alias("first"), F.max(page).alias("last"))
-    by = Window.orderBy("part")  # a row a part
-    ends = ends.select("first", "last", F.lag("part").over(by).alias("before"), F.lead("part").over(by).alias("after"))
-    lent = ends.select("first.*", F.col("before").alias("part")).unionByName(ends.select("last.*", F.col("after").alias("part"))).where("part IS NOT NULL")
-    return dealt.withColumn("lent", F.lit(False)).unionByName(lent.withColumn("lent", F.lit(True)))
+def outline(pages: DataFrame) -> DataFrame:
+    hashes = content_key(F.col("lines"), F.col("kinds"))
+    return _outline(pages).withColumns({"ca": hashes["a"], "cb": hashes["b"]})
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each of pages(page_id, url, html)."""
-    parsed = staged(_parse(pages))
-    article = parsed.where("marked").select("page_id", "url", F.array_join("lines", "\n").alias("text"))
-    rest = parsed.where("not marked")
-    where = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
-    host = F.lower(F.regexp_extract(where, r"^([^/?#]*)", 1))
-    path = F.regexp_extract(where, r"^[^/?#]*([^?#]*)", 1)
-    rest = rest.select("page_id", "url", host.alias("host"), path.alias("path"), "lines")
-    n = max(1, rest.count() // PARTITION_PAGES + 1)
-    rest = _with_neighbours(rest.repartitionByRange(n, "host", "path", "page_id"))
-    rest = rest.select("page_id", "url", "host", "path", "lines", "part", "lent").repartitionByRange(n, "part")
-    rest = rest.sortWithinPartitions("part", "host", "path", "page_id", "url", "lines")
-    differenced = rest.mapInArrow(_pairs, "page_id bigint, url string, text string")
-    return article.unionByName(differenced).withColumn("n_chars", F.length("text").cast("bigint"))
+    seen = staged(outline(pages))
+    cuts = staged(differenced(seen).where(F.size("cut") > 0).select("host", "ca", "cb", "cut"))
+    rows = staged(seen.select("ka", "kb", "host", "ca", "cb").join(cuts, ["host", "ca", "cb"]).groupBy("ka", "kb").agg(F.first("cut").alias("cut")))
+    key = _key()
+    whole = pages.select("page_id", "url", "html", key["a"].alias("ka"), key["b"].alias("kb")).join(rows, ["ka", "kb"], "left").select("page_id", "url", "html", "cut")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "html"):
+            texts = []
+            for h, cut in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                gone = set(cut or ())
+                texts.append("\n".join(x for i, (k, x) in enumerate(lines(h)) if k != FURNITURE and i not in gone))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return whole.mapInArrow(run, "page_id bigint, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
