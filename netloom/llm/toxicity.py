@@ -1,22 +1,29 @@
 """Toxicity by the nearest labelled examples.
 
-Terms are lower-case words (`word$`), their beginnings of 3 to 7 letters (`wor`: stems), and
-either at least 2, 3 or 5 times in a text (`wor#2`). From a bounded sample of labelled documents (`EACH` toxic and as
-many others, those with the least hash) the terms that toxic documents have significantly
-more often are taken (chi-squared over `CHI`, at most `TERMS`, one of those that are in
-the same texts); they are weighted by
-(1 + ln tf) times idf, with document frequencies counted over all documents, and vectors
-have length 1. The labelled vectors form an inverted index in blocks of `BLOCK` neighbouring
-vectors, with each term's maximum in each block. A query bounds every block's cosines by its
-terms' maxima, opens blocks in falling order of the bound, and stops when no block can hold
-one of the `NEAREST`: the neighbours are exact. Their similarities, times what one sampled
-document of their label stands for, are votes; a logistic curve fitted to the leave-one-out
-votes of the sample makes them a probability. The neighbours' ids are the evidence.
-
-Texts without any of the terms (nulls and empty texts among them) score what the labelled
-texts without any suggest: the weighted share of toxic ones. Without labels of both kinds
-the score is that of the labels there are (0 if none). Label and document rows with the same
-id are taken once each. Every text is scored whole; other columns pass through `score`.
+From a bounded sample of labelled documents (`EACH` toxic and as many others, those with the
+least hash, of at most `FIT_CHARS` characters) come the examples. Their vocabulary is every
+word (lower case) that any of them has, and further terms: beginnings of words (`wor`: 3 to 7
+letters: stems), whole words (`word$`), and either of them at least 2, 3 or 5 times in a text
+(`wor#2`), where toxic examples have them significantly more often (chi-squared of `CHI`,
+`LIFT` times as often, in `LEAST_DF` texts; of those that are in the same texts one). There
+is no limit to their number, and they only add to the words: they weigh `BOOST` times as
+much. Terms are weighted by (1 + ln tf) times idf, with document frequencies counted over all
+documents, and vectors have length 1.
+
+The examples' vectors form an inverted index in blocks of `BLOCK` neighbouring vectors.
+Terms that under `COMMON` examples have are added up through their postings; the others have
+a maximum in each block. Both bound a block's cosines; blocks are opened in falling order of
+the bound until none can hold one of the `NEAREST`: the neighbours are those of exact cosines
+(ties at six digits: the smaller doc_id). Their similarities, times what one sampled document
+of their label stands for, are votes; a logistic curve fitted to the leave-one-out votes of
+the sample makes them a probability. The neighbours' ids are the evidence.
+
+Every text is scored whole, and one with any known word gets neighbours. Texts without (nulls
+and empty texts among them) score the weighted share of toxic ones among such examples.
+Without labels of both kinds the score is that of the labels there are (0 if none). Label and
+document rows with the same id are taken once each; repeated rows get equal scores, an empty
+table gives an empty result. Input columns travel in a struct, so no name clashes. A task
+holds the model (bounded by the sample) and the words of one text.
 """
 
 from __future__ import annotations
@@ -32,13 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import chunks, documents
+from netloom.llm.common import chunks, documents, packed, unpacked
 from netloom.llm.langid import held_out
 
 EACH, FIT_CHARS = 1500, 50_000
-TERMS, CHI, LEAST_DF, LIFT = 400, 24.0, 3, 3.0
+CHI, LEAST_DF, LIFT, BOOST = 24.0, 3, 3.0, 4.0
 STEMS, LEVELS = (3, 4, 5, 6, 7), (2, 3, 5)
-BLOCK, NEAREST = 32, 15
+BLOCK, COMMON, NEAREST = 128, 48, 15
 _WORDS = re.compile(r"\w+")
 
 
@@ -57,110 +64,167 @@ def features(text: str | None) -> Counter:
     return out
 
 
+def words(text: str | None) -> Counter:
+    return Counter(_WORDS.findall(text.lower()) if text else ())
+
+
 class Terms:
-    """Counts chosen terms; words that start like none of them cost one look-up."""
+    """Counts the terms of a vocabulary: plain words, and `marks` as of `features`. Words
+    that start like none of the marks cost two look-ups."""
 
-    def __init__(self, vocabulary: list[str]):
-        self.at = {t: i for i, t in enumerate(vocabulary)}
-        self.base = {t.partition("#")[0] for t in vocabulary}
+    def __init__(self, plain: list[str], marks: list[str]):
+        self.at = {w: i for i, w in enumerate(plain)}
+        self.marks = {t: len(plain) + i for i, t in enumerate(marks)}
+        self.base = {t.partition("#")[0] for t in marks}
         self.heads = {t.removesuffix("$")[:3] for t in self.base}
 
-    def count(self, text: str | None) -> dict[str, int]:
-        heads, base, found = self.heads, self.base, Counter()
-        for w in _WORDS.findall(text.lower()) if text else ():
+    def count(self, text: str | None) -> dict[int, int]:
+        heads, base, at, found, out = self.heads, self.base, self.at, Counter(), {}
+        for w, n in words(text).items():
+            if (i := at.get(w)) is not None:
+                out[i] = n
             if w[:3] in heads:
                 if w + "$" in base:
-                    found[w + "$"] += 1
+                    found[w + "$"] += n
                 for k in STEMS:
-                    if w[:k] in base and len(w) >= k:
-                        found[w[:k]] += 1
-        out = {t: n for t, n in found.items() if t in self.at}
+                    if len(w) >= k and w[:k] in base:
+                        found[w[:k]] += n
         for t, n in found.items():
+            if (i := self.marks.get(t)) is not None:
+                out[i] = n
             for level in LEVELS:
-                if n >= level and (x := f"{t}#{level}") in self.at:
-                    out[x] = 1
+                if n >= level and (i := self.marks.get(f"{t}#{level}")) is not None:
+                    out[i] = 1
         return out
 
 
-def choose(texts: list[str], toxic: np.ndarray, most: int = TERMS) -> list[str]:
-    """Terms that toxic texts have significantly more often, `LIFT` times at least."""
-    df: tuple[dict, Counter] = ({}, Counter())
-    for i, (t, y) in enumerate(zip(texts, toxic)):
+def choose(texts: list[str], toxic: np.ndarray) -> list[str]:
+    """Features that toxic texts have significantly more often, `LIFT` times at least."""
+    n1 = int(toxic.sum())
+    n0 = len(toxic) - n1
+    bad: Counter = Counter()
+    for t, y in zip(texts, toxic):
         if y:
-            for x in features(t):
-                df[0].setdefault(x, []).append(i)
+            bad.update(features(t).keys())
+    bad = Counter({x: a for x, a in bad.items() if a >= LEAST_DF and a * (n0 + 2) >= LIFT * n1})
+    good: Counter = Counter()
+    those = Terms([], list(bad))
     for t, y in zip(texts, toxic):
         if not y:
-            df[1].update(features(t).keys() & df[0].keys())
-    n1 = int(toxic.sum())
-    n0 = len(toxic) - n1
+            good.update(those.count(t).keys())
     scored = []
-    for w, texts_with in df[0].items():
-        a, b = len(texts_with), df[1][w]
-        if a < LEAST_DF or a * (n0 + 2) < LIFT * (b + 1) * n1:
+    for w, a in bad.items():
+        b = good[those.marks[w]]
+        if a * (n0 + 2) < LIFT * (b + 1) * n1:
             continue
         c, d = n1 - a, n0 - b
         chi = (n0 + n1) * (a * d - b * c) ** 2 / max(1.0, float(n1) * n0 * (a + b) * (c + d))
         if chi >= CHI:
-            scored.append((-chi, len(w), w, b))
+            scored.append((-chi, len(w), w))
+    those = Terms([], [w for _, _, w in sorted(scored)])
+    where: list[list[int]] = [[] for _ in scored]
+    for i, t in enumerate(texts):
+        for k in those.count(t):
+            where[k].append(i)
     out: dict = {}
-    for _, _, w, b in sorted(scored):
-        out.setdefault((tuple(df[0][w]), b), w)
-        if len(out) == most:
-            break
+    for w, k in those.marks.items():
+        out.setdefault(tuple(where[k]), w)
     return list(out.values())
 
 
 class Index:
-    """A block-max inverted index of unit vectors."""
-
-    def __init__(self, vectors: np.ndarray, block: int = BLOCK):
-        top = vectors.argmax(1) if vectors.shape[1] else np.zeros(len(vectors), int)
-        self.order = np.lexsort((-vectors.max(1, initial=0), top))  # neighbours share their main term: tight bounds
-        self.vectors = vectors[self.order]
-        self.starts = np.arange(0, len(vectors), block)
-        self.block = block
-        self.most = np.maximum.reduceat(self.vectors, self.starts, 0).T.copy() if len(vectors) else np.zeros((vectors.shape[1], 0), np.float32)
-
-    def nearest(self, columns: list[int], weights: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """A block-max inverted index of sparse unit vectors [(columns, weights), ...]."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], size: int, block: int = BLOCK, common: int = COMMON):
+        n = len(vectors)
+        df = np.zeros(size, np.int64)
+        for c, _ in vectors:
+            df[c] += 1
+        self.common = np.full(size, -1, np.int64)  # their columns of `dense`
+        often = np.flatnonzero(df >= common)
+        self.common[often] = np.arange(len(often))
+        main = np.full(n, -1, np.int64)
+        for i, (c, w) in enumerate(vectors):
+            at = self.common[c]
+            if (at >= 0).any():
+                main[i] = c[np.where(at >= 0, w, -1).argmax()]
+        self.order = np.lexsort((np.arange(n), main))  # neighbours share their main term: tight bounds
+        self.dense = np.zeros((-(-n // block), len(often), block), np.float32)
+        rows, columns, weights = [], [], []
+        for r, i in enumerate(self.order):
+            c, w = vectors[i]
+            at = self.common[c]
+            self.dense[r // block, at[at >= 0], r % block] = w[at >= 0]
+            columns.append(c[at < 0])
+            weights.append(w[at < 0])
+            rows.append(np.full(len(columns[-1]), r, np.int32))
+        rows, columns, weights = (np.concatenate(x) if x else np.zeros(0) for x in (rows, columns, weights))
+        by = np.argsort(columns, kind="stable")
+        self.rows, self.weights = rows[by].astype(np.int32), weights[by].astype(np.float32)
+        self.first = np.searchsorted(columns[by], np.arange(size + 1))
+        self.starts, self.block = np.arange(0, n, block), block
+        self.most = self.dense.max(2, initial=0).T.copy()  # terms x blocks
+
+    def nearest(self, columns: np.ndarray, weights: np.ndarray, k: int = NEAREST, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar vectors of those that share a term with the query (ties: the
         smaller number), and their cosines; without vector `but`."""
-        bounds = weights @ self.most[columns]
-        found: list[tuple[float, int]] = []
-        worst = -1.0
+        n = len(self.order)
+        if not n or not len(columns):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = self.common[columns]
+        seldom = np.flatnonzero(at < 0)
+        lengths = self.first[columns[seldom] + 1] - self.first[columns[seldom]]
+        seldom, lengths = seldom[lengths > 0], lengths[lengths > 0]
+        ends = np.cumsum(lengths)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[columns[seldom]] - ends + lengths, lengths)
+        scores = np.bincount(self.rows[take], self.weights[take] * np.repeat(weights[seldom], lengths), n)
+        often, q = at[at >= 0], weights[at >= 0].astype(np.float32)
+        bounds = np.maximum.reduceat(scores, self.starts) + q @ self.most[often]
+        found, cosines, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
         for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(found) >= k and bounds[b] < worst - 1e-6):
+            if bounds[b] <= 0 or bounds[b] < worst - 2e-6:
                 break
-            s = self.starts[b]
-            cosines = self.vectors[s : s + self.block, columns] @ weights
-            found += [(-c, i) for c, i in zip(cosines.tolist(), self.order[s : s + self.block].tolist()) if c > 0 and i != but]
-            found = sorted((round(c, 6), i) for c, i in found)[:k]
-            worst = -found[-1][0] if found else -1.0
-        return np.array([i for _, i in found], np.int64), np.array([-c for c, _ in found])
+            s = slice(self.starts[b], self.starts[b] + self.block)
+            mine = self.order[s]
+            c = (scores[s] + (q @ self.dense[b][often])[: len(mine)]).round(6)
+            good = np.flatnonzero((c > 0) & (c >= worst) & (mine != but))
+            if len(good):
+                found, cosines = np.concatenate([found, mine[good]]), np.concatenate([cosines, c[good]])
+                if len(found) > k:
+                    best = np.lexsort((found, -cosines))[:k]
+                    found, cosines = found[best], cosines[best]
+                if len(found) == k:
+                    worst = cosines.min()
+        best = np.lexsort((found, -cosines))
+        return found[best], cosines[best]
 
 
 class Model:
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, vectors: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray, ids: list[int]):
-        self.terms = Terms(vocabulary)
-        self.idf, self.ids = idf, np.array(ids, np.int64)
+    def __init__(self, terms: Terms, weight: np.ndarray, texts: list[str], toxic: np.ndarray, stands_for: np.ndarray, ids: list[int]):
+        """`weight`: idf times boost of each term; texts in order of doc_id."""
+        self.terms, self.idf, self.ids = terms, weight, np.array(ids, np.int64)
         self.weight, self.toxic = stands_for, toxic.astype(np.float64)
-        bare = vectors.sum(1) == 0
-        w = self.weight * bare
+        vectors = [self.vector(t) for t in texts]
+        self.rows = np.array([i for i, (c, _) in enumerate(vectors) if len(c)], np.int64)
+        bare = np.array([not len(c) for c, _ in vectors])
+        w, one = self.weight * bare, float(self.weight[~bare].min(initial=1))
         total = float(w.sum())
-        self.bare = (float((w * self.toxic).sum()) + 0.5 * float(self.weight[~bare].min(initial=1))) / (total + float(self.weight[~bare].min(initial=1))) if total else 0.5
-        keep = np.flatnonzero(~bare)
-        self.rows = keep
-        self.index = Index(vectors[keep])
-        self.a, self.b = self._calibrate(vectors[keep], keep)
-
-    @staticmethod
-    def vector(chosen: Terms, idf: np.ndarray, text: str | None) -> tuple[list[int], np.ndarray]:
-        found = sorted((chosen.at[t], n) for t, n in chosen.count(text).items())
-        values = np.array([(1 + math.log(n)) * idf[i] for i, n in found])
+        self.bare = (float((w * self.toxic).sum()) + one * self.prior()) / (total + one)
+        vectors = [vectors[i] for i in self.rows]
+        self.index = Index(vectors, len(weight))
+        self.a, self.b = self._calibrate(vectors)
+
+    def prior(self) -> float:
+        return float((self.weight * self.toxic).sum() / self.weight.sum())
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        found = sorted(self.terms.count(text).items())
+        columns = np.array([i for i, _ in found], np.int64)
+        values = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.idf[columns]
         n = np.sqrt((values**2).sum())
-        return [i for i, _ in found], (values / n if n else values).astype(np.float32)
+        return columns, (values / n if n else values)
 
-    def _votes(self, columns: list[int], weights: np.ndarray, but: int = -1) -> tuple[float | None, np.ndarray]:
+    def _votes(self, columns: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[float | None, np.ndarray]:
         near, cosines = self.index.nearest(columns, weights, but=but)
         if not len(near):
             return None, near
@@ -168,13 +232,12 @@ class Model:
         v = cosines * self.weight[rows]
         return float((v * self.toxic[rows]).sum() / v.sum()), rows
 
-    def _calibrate(self, vectors: np.ndarray, rows: np.ndarray) -> tuple[float, float]:
+    def _calibrate(self, vectors: list) -> tuple[float, float]:
         votes, y, w = [], [], []
-        for i, x in enumerate(vectors):
-            columns = np.flatnonzero(x)
-            s, _ = self._votes(columns.tolist(), x[columns], but=i)
+        for i, (columns, x) in enumerate(vectors):
+            s, _ = self._votes(columns, x, but=i)
             if s is not None:
-                votes.append(s), y.append(self.toxic[rows[i]]), w.append(self.weight[rows[i]])
+                votes.append(s), y.append(self.toxic[self.rows[i]]), w.append(self.weight[self.rows[i]])
         a, b = 6.0, -3.0
         if not votes or not 0 < sum(y) < len(y):
             return a, b
@@ -194,14 +257,13 @@ class Model:
         return (float(beta[0]), float(beta[1])) if beta[0] > 0 else (a, b)
 
     def score(self, text: str | None, memo: dict) -> tuple[float, tuple[int, ...]]:
-        columns, weights = self.vector(self.terms, self.idf, text)
-        key = (tuple(columns), weights.tobytes())
-        if key not in memo:
-            if len(memo) > 50_000:
+        key = hash(text)
+        if key not in memo or memo[key][0] != text:
+            if len(memo) > 1000:
                 memo.clear()
-            s, rows = self._votes(columns, weights) if columns else (None, self.rows[:0])
-            memo[key] = (self.bare if s is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * s + self.b)))), tuple(self.ids[rows].tolist()))
-        return memo[key]
+            s, rows = self._votes(*self.vector(text))
+            memo[key] = text, (self.bare if s is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * s + self.b)))), tuple(self.ids[rows].tolist()))
+        return memo[key][1]
 
 
 def examples(docs: DataFrame, labels: DataFrame, each: int = EACH, longest: int = FIT_CHARS) -> tuple[list, dict[int, int]]:
@@ -218,22 +280,23 @@ def examples(docs: DataFrame, labels: DataFrame, each: int = EACH, longest: int
     return [(r["doc_id"], r["text"], r["toxic"]) for r in rows], counts
 
 
-def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+def frequencies(docs: DataFrame, terms: Terms) -> tuple[int, dict[int, int]]:
     """How many documents there are, and in how many each term is."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, found, n = Terms(shared.value), Counter(), 0
+        chosen, n = shared.value, 0
+        found = np.zeros(len(chosen.at) + len(chosen.marks), np.int64)
         for part in chunks(batches):
             for t in part.column(0).to_pylist():
                 n += 1
-                found.update(chosen.count(t).keys())
-        rows = [("", n), *found.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.int64())], names=["term", "n"])
+                found[list(chosen.count(t))] += 1
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1), pa.int64()), pa.array(np.append(found[seen], n), pa.int64())], names=["term", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()  # at most TERMS + 1 rows
-    out = {r["term"]: r["n"] for r in counted}
-    return out.pop("", 0), out
+    counted = docs.select("text").mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the sample
+    out = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist()))
+    return out.pop(-1, 0), out
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model | float:
@@ -241,21 +304,20 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Model | float:
     toxic = np.array([y for _, _, y in rows], np.int64)
     if not len(rows) or toxic.min() == toxic.max():
         return float(toxic.mean()) if len(rows) else 0.0
-    vocabulary = choose([t for _, t, _ in rows], toxic)
-    n, df = frequencies(docs, vocabulary)
-    idf = np.array([math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in vocabulary])
-    chosen = Terms(vocabulary)
-    vectors = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for x, (_, t, _) in zip(vectors, rows):
-        columns, values = Model.vector(chosen, idf, t)
-        x[columns] = values
+    texts = [t for _, t, _ in rows]
+    plain = sorted(set().union(*(words(t).keys() for t in texts)))
+    terms = Terms(plain, choose(texts, toxic))
+    n, df = frequencies(docs, terms)
+    size = len(terms.at) + len(terms.marks)
+    weight = np.log((n + 1) / (np.array([df.get(i, 0) for i in range(size)]) + 1)) + 1
+    weight[len(plain) :] *= BOOST
     taken = Counter(toxic.tolist())
     stands_for = np.array([counts[y] / taken[y] for y in toxic.tolist()])
-    return Model(vocabulary, idf, vectors, toxic, stands_for, [i for i, _, _ in rows])
+    return Model(terms, weight, texts, toxic, stands_for, [i for i, _, _ in rows])
 
 
 def score(docs: DataFrame, labels: DataFrame, each: int = EACH) -> DataFrame:
-    """`docs` with a struct `toxicity` of score and evidence."""
+    """doc (the columns of `docs`) and toxicity (score, evidence) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, each))
 
     @F.pandas_udf("score double, evidence array<bigint>")
@@ -266,11 +328,16 @@ def score(docs: DataFrame, labels: DataFrame, each: int = EACH) -> DataFrame:
         found = [model.score(t, memo) for t in text]
         return pd.DataFrame({"score": [s for s, _ in found], "evidence": [list(e) for _, e in found]})
 
-    return docs.withColumn("toxicity", toxicity("text"))
+    return docs.select(packed(docs).alias("doc"), toxicity("text").alias("toxicity"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that score under 0.5."""
+    return score(docs, labels, **options).where(F.col("toxicity.score") < 0.5).select(*unpacked(docs, docs.columns))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     out = score(documents(spark, sf_dir).select("doc_id", "text"), labels)
     rounded = F.col("toxicity.score")
-    return out.select("doc_id", held_out().alias("held_out"), rounded.alias("score"), (rounded >= 0.5).cast("int").alias("predicted"), F.col("toxicity.evidence").alias("evidence"))
+    return out.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), rounded.alias("score"), (rounded >= 0.5).cast("int").alias("predicted"), F.col("toxicity.evidence").alias("evidence"))

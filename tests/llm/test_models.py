@@ -80,15 +80,19 @@ def test_kernel_by_hand():
 
 
 def test_nearest_is_exact():
+    """Blocks, postings and bounds against all cosines; whatever is common or seldom."""
     rng = np.random.default_rng(2)
-    v = (rng.random((200, 30)) * (rng.random((200, 30)) < 0.2)).astype(np.float32)
+    v = rng.random((200, 60)) * (rng.random((200, 60)) < np.linspace(0.01, 0.6, 60))
+    v[5] = v[6] = v[7]  # ties
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    index = toxicity.Index(v, 8)
-    for q in v[:40]:
-        c = np.flatnonzero(q)
-        near, cos = index.nearest(c.tolist(), q[c], 7)
-        brute = sorted(((-round(float(x), 6), i) for i, x in enumerate(v[:, c] @ q[c]) if x > 0))[:7]
-        assert near.tolist() == [i for _, i in brute]
+    for common in (0, 20, 1000):
+        index = toxicity.Index([(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in v], 60, 8, common)
+        for i, q in enumerate(v[:60]):
+            c = np.flatnonzero(q)
+            near, cos = index.nearest(c, q[c], 7, but=i)
+            brute = sorted(((-round(float(x), 6), j) for j, x in enumerate(v @ q) if x > 0 and j != i))[:7]
+            assert np.allclose(cos, [-x for x, _ in brute], atol=2e-6)
+            assert len(near) == len(brute) and (near.tolist() == [j for _, j in brute] or len(set(near) ^ {j for _, j in brute}) <= 2)
 
 
 def test_toxicity(spark, docs, empty):
@@ -104,13 +108,57 @@ def test_toxicity(spark, docs, empty):
     labels += [(900, 0), (3, 0), (7777, 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").drop("toxic")
     lab = spark.createDataFrame(labels, "doc_id bigint, toxic int")
-    got = {r.doc_id: r.toxicity for r in toxicity.score(df, lab).collect()}
+    got = {r.doc.doc_id: r.toxicity for r in toxicity.score(df, lab).collect()}
     test = [(d, int(d % 5 == 0)) for d in range(500) if held(d)]
     assert all((got[d].score >= 0.5) == y for d, y in test) and got[900].score < 0.5
     assert got[0].evidence and not got[900].evidence and all(0 <= t.score <= 1 for t in got.values())
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r.toxicity.score for r in toxicity.score(docs, none).collect()} == {0.0}
     assert toxicity.score(empty, lab).collect() == []
+    # a column of the result's name stays what it is; repeated rows score alike
+    clash = df.withColumns({"toxicity": F.lit("mine"), "doc": F.lit(7)}).unionByName(df.withColumns({"toxicity": F.lit("mine"), "doc": F.lit(7)}).where("doc_id < 20"))
+    out = toxicity.without_toxic(clash, lab)
+    assert out.columns == clash.columns and {(r.toxicity, r.doc) for r in out.collect()} == {("mine", 7)}
+    assert out.count() == sum(got[r.doc_id].score < 0.5 for r in clash.collect())
+
+
+def test_toxicity_by_brute_force(spark):
+    """Whole texts: vectors, neighbours, votes and the calibrated score, by dictionaries."""
+    rng = np.random.default_rng(8)
+    plain = [f"w{i}ord" for i in range(80)]
+    rows = [(i, " ".join([*rng.choice(plain, rng.integers(5, 40)), *(["vile", "Fool!"] if i % 6 == 0 else [])])) for i in range(240)] + [(900, None), (901, "?"), (902, "unseen alone")]
+    labels = [(i, int(i % 6 == 0)) for i in range(240)]
+    df, lab = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(df, lab)
+    got = {r.doc.doc_id: r.toxicity for r in toxicity.score(df, lab).collect()}
+    marks, texts, toxic = model.terms.marks, dict(rows), dict(labels)
+    assert any(m.startswith(("vil", "foo")) for m in marks)
+
+    def terms(text):
+        f = toxicity.features(text)
+        return {("", w): n for w, n in toxicity.words(text).items() if w in model.terms.at} | {("#", t): f[t] for t in marks if f[t]}
+
+    seen = {i: terms(t) for i, t in rows}
+    df_of = {}
+    for t in seen.values():
+        for x in t:
+            df_of[x] = df_of.get(x, 0) + 1
+    weight = lambda x, n: (1 + math.log(n)) * (math.log((len(rows) + 1) / (df_of[x] + 1)) + 1) * (toxicity.BOOST if x[0] else 1)
+    vectors = {}
+    for i, t in seen.items():
+        v = {x: weight(x, n) for x, n in t.items()}
+        norm = math.sqrt(sum(y * y for y in v.values()))
+        vectors[i] = {x: y / norm for x, y in v.items()}
+    known = [i for i in toxic if not held(i)]
+    total = {y: sum(toxic[i] == y for i in known) for y in (0, 1)}
+    assert total[0] < toxicity.EACH  # all are examples: each stands for itself
+    for i in range(0, 240, 7):
+        near = sorted((-round(sum(y * vectors[j].get(x, 0) for x, y in vectors[i].items()), 6), j) for j in known)[: toxicity.NEAREST]
+        vote = sum(-c * toxic[j] for c, j in near) / sum(-c for c, _ in near)
+        assert math.isclose(got[i].score, 1 / (1 + math.exp(-(model.a * vote + model.b))), abs_tol=1e-4)
+        assert len(set(got[i].evidence) ^ {j for _, j in near}) <= 2  # rounding at the last place
+    assert {got[i].score for i in (900, 901, 902)} == {model.bare} and not got[902].evidence
+
 
 
 def test_lookup_table():
