@@ -16,7 +16,7 @@ from netloom.llm.common import staged
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples call toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.score(docs, labels).where(F.col("toxicity.score") < 0.5).select(*docs.columns)
+    return toxicity.without_toxic(docs, labels)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
