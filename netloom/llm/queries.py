@@ -12,7 +12,6 @@ def queries() -> dict:
         "op3_png_media": media.op3,
         "op4_exact_dedup": exact_dedup.op4,
         "op5_line_dedup": line_dedup.op5,
-        "op5_line_dedup_all": line_dedup.op5_all,
         "op6_mix_entropy": mixing.op6,
         "op7_langid_kernel": langid.op7,
         "op8_bag_minhash": minhash.op8,

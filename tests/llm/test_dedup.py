@@ -35,16 +35,39 @@ def test_cuts_follow_content():
     assert len({x + 3 for x in a} & set(b)) > len(a) - 4
 
 
+def lines_of(df):
+    return {r.doc_id: r for r in line_dedup.line_dedup(df).select("doc.*", "line_dedup.*").collect()}
+
+
+def test_lines_as_sql(spark, docs, rows):
+    """The fixture of odd rows in DuckDB; `bands`, `row` and other names pass through."""
+    import pandas as pd
+
+    duckdb = pytest.importorskip("duckdb")
+    extra = [(700 + i, f"own {i}\nOk\n{'x ' * i}\n\t\n a line of all sites ", "en", f"s{i}", 1, None, None, None) for i in range(7)]
+    documents = pd.DataFrame([(r[0], r[1], r[3]) for r in rows + extra], columns=["doc_id", "text", "source"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = sorted(con.execute(line_dedup.OP5_SQL).fetchall(), key=repr)
+    df = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    out = line_dedup.line_dedup(df)
+    got = sorted((tuple(r) for r in out.select("doc.doc_id", "line_dedup.n_lines", "line_dedup.n_removed", "doc.text").collect()), key=repr)
+    assert got == want and sum(r[2] for r in got) >= 14
+    assert out.select("doc.*").columns == df.columns
+    clash = df.withColumnRenamed("row", "line_dedup")
+    assert line_dedup.cleaned(clash).columns == clash.columns and line_dedup.cleaned(clash).where("line_dedup = 'y'").count() == df.where("row = 'y'").count()
+
+
 def test_lines(spark, docs, empty):
     line = "this very line is on every site"
     rows = [(i, f"unique words of document {i} that nobody else has\n{line}\nshort\n" if i < 12 else "of its own and longer than the rest", "x", f"s{i % 6}", 1) for i in range(14)]
     rows += [(50 + i, f"{line}", "x", f"s{i}", 1) for i in range(6)]  # nothing but the line: a copy, kept
     rows += [(60, f"two sites only is fine here\n{line}\nthen more text of it", "x", None, 1), (61, None, "x", "s1", 1), (62, "", "x", "s1", 1), (60, f"two sites only is fine here\n{line}\nthen more text of it", "x", None, 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
-    assert got[0].text == "unique words of document 0 that nobody else has\nshort\n" and got[0].line_dedup.n_removed == 1
+    got = lines_of(df)
+    assert got[0].text == "unique words of document 0 that nobody else has\n" and got[0].n_removed == 2
     assert got[12].text == rows[12][1] and got[50].text == line and got[60].text == "two sites only is fine here\nthen more text of it"
-    assert got[61].text is None and got[61].line_dedup.n_lines == 0 and got[62].text == ""
+    assert got[61].text is None and got[61].n_lines == 0 and got[62].text == ""
     assert line_dedup.line_dedup(df).count() == len(rows)
     assert line_dedup.line_dedup(docs).count() == docs.count() and line_dedup.line_dedup(empty).collect() == []
 
@@ -54,9 +77,9 @@ def test_short_lines(spark):
     rows = [(i, f"the own words of document {i} are these\n\n\t\n All rights reserved. \nOk\n", f"s{i}") for i in range(5)]
     rows += [(9, "All rights reserved. Not\nmore of it here", "s9")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = {r.doc_id: r for r in line_dedup.line_dedup(df, min_words=1).collect()}
+    got = lines_of(df)
     for i in range(5):
-        assert got[i].text == f"the own words of document {i} are these\n\n\t\n" and got[i].line_dedup.n_removed == 2
+        assert got[i].text == f"the own words of document {i} are these\n\n\t\n" and got[i].n_removed == 2
     assert got[9].text == rows[5][1]
 
 
@@ -76,11 +99,11 @@ def test_only_copies_are_spared(spark):
     rows += [(10, long, "s1"), (11, long, "s2"), (12, f"{long}\n", "s3")]  # two copies, and a text of its own
     rows += [(13, f"{long}\n\n", "s4")] * 2  # a repeated row
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
-    got = {r.doc_id: r for r in line_dedup.line_dedup(df, copies_only=True).collect()}
+    got = lines_of(df)
     for i in range(6):
-        assert got[i].text == f"of {i}\nso {i}" and got[i].line_dedup.n_removed == 1
+        assert got[i].text == f"of {i}\nso {i}" and got[i].n_removed == 1
     assert got[10].text == got[11].text == long and got[12].text == "" and got[13].text == f"{long}\n\n"
-    assert line_dedup.line_dedup(df, copies_only=True).count() == len(rows)
+    assert line_dedup.line_dedup(df).count() == len(rows)
 
 
 def bag(t):
