@@ -7,7 +7,6 @@ and read again as the next one's docs. All but the last return the columns of `d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netloom.llm import bpe, line_dedup, minhash, mixing, toxicity
 from netloom.llm.common import staged
@@ -21,9 +20,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on many sites go, however short and whatever is left; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs, min_words=1, copies_only=True)
-    n_chars = F.when(F.col("line_dedup.n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("bigint")
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    return line_dedup.cleaned(docs)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
