@@ -13,10 +13,11 @@ and an ordered aggregation joins their bytes; the runs are put together again pe
 
 Pieces longer than `LONG_PIECE` bytes (a run of one letter, say) would need as many rounds
 of the recursion as they have bytes; they are merged by a heap in O(n log n) instead, with
-the same result.
+the same result. What the vocabulary's pattern is, is asserted.
 
 Nulls and empty texts encode to no tokens. Repeated rows, ties and extra columns are
-harmless: a row's result depends on its text alone, and other columns are not read.
+harmless: a row's result depends on its text alone, and other columns are not read. An empty
+table gives an empty result.
 Memory per task is bounded by a chunk (0.5 MB of text, or the longest text) and by a memo of
 `MEMO` pieces.
 """
@@ -37,6 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from netloom.llm.common import chunks
 
 LONG_PIECE = 256
+#: The pattern that `piece_starts` works out (a fixed value: what the vocabulary was made with).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MEMO = 200_000
 MERGED = 10_000
 CHUNK = 500_000
@@ -340,9 +343,16 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], with_ids: bool = Fal
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def check_pattern(pattern: str) -> None:
+    """`piece_starts` is one pattern worked out by hand: another one must not pass silently."""
+    if pattern != PATTERN:
+        raise ValueError(f"the pre-tokeniser is built for {PATTERN!r}, not for {pattern!r}")
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from netloom.llm.common import documents
 
+    check_pattern(public_tokenizers.PATTERN)
     return encode_decode(documents(spark, sf_dir), read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))

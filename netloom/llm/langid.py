@@ -1,19 +1,24 @@
 """Language identification with a blended-spectrum string kernel.
 
-Letters are mapped to an alphabet of 62 symbols learned from the sample (lower case; the
-rest of the letters share one symbol, everything else is a word boundary, and boundaries in
-a row are one). The kernel of two texts is the number of n-grams (n = 1, 2, 3) that both
-have, over the geometric mean of how many each has. `LANDMARKS` documents span the Nystroem
-feature map, and one kernel ridge regression for each language against the rest is solved
-there. Map and regressions are one matrix, so scoring a batch is two matrix products:
-presence times landmarks, kernel times weights.
+Texts are sequences of letters (lower case, of any script, each its own code point) and word
+boundaries: everything else is one, and boundaries in a row are one. An n-gram (n = 1, 2, 3)
+is an exact 63-bit number of its code points, so scripts never share any. The kernel of two
+texts is the number of n-grams that both have, over the geometric mean of how many each has.
+`LANDMARKS` documents (at least two of every language) span the Nystroem feature map, and one
+kernel ridge regression for each language against the rest is solved there. Map and
+regressions are one matrix, so scoring a batch is two matrix products: presence times
+landmarks, kernel times weights.
 
 Fitting takes a bounded, documented sample: up to `SAMPLE` documents in all, the same number
-of every language, those with the least hash, of at most `FIT_CHARS` characters. Every text
+of every language (one at least), those with the least hash, of at most `FIT_CHARS`
+characters. Every text
 is scored whole. The score of the best language is its share of the clipped outputs.
 
 A text that is null or has no letter is `und` with score 0; so is every text if there is
-nothing to learn from. Repeated rows get equal results; other columns are not read.
+nothing to learn from. Of languages whose outputs tie the first in order is taken; a text
+that shares no n-gram with any landmark is decided by the intercepts. Repeated rows get equal
+results, an empty table an empty one; other columns are not read. A task holds the presence
+rows of up to 512 texts (2 MB of text, or the longest one).
 """
 
 from __future__ import annotations
@@ -31,9 +36,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import chunks, documents
 
 SAMPLE, FIT_CHARS, LANDMARKS, RIDGE = 2000, 20_000, 128, 1e-3
-SYMBOLS = 64
-EDGE, RARE = 0, 1
-GRAMS = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
+EDGE = 1  # a word boundary; 0 pads shorter n-grams, and neither is a letter
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -57,67 +60,45 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-class Alphabet:
-    def __init__(self, symbols: dict[int, int]):
-        letters = _letters()
-        table = np.where(letters > 0, RARE, EDGE).astype(np.uint8)
-        lut = np.full(sys.maxunicode + 1, RARE, np.uint8)
-        for point, symbol in symbols.items():
-            lut[point] = symbol
-        self.table = np.where(letters > 0, lut[letters], table).astype(np.uint8)
-        self.seen = np.zeros(GRAMS, bool)
-
-    def grams(self, text: str) -> np.ndarray:
-        """Codes of the n-grams that the text has, with repeats; empty without letters."""
-        c = self.table[_code_points(text)]
-        c = np.concatenate([[EDGE], c, [EDGE]]).astype(np.int32)
-        keep = c != EDGE
-        keep[1:] |= c[:-1] != EDGE
-        keep[0] = True
-        c = c[keep]
-        if len(c) <= 2:
-            return c[:0]
-        two = c[:-1] * SYMBOLS + c[1:]
-        three = two[:-1] * SYMBOLS + c[2:]
-        return np.concatenate([c, SYMBOLS + two, SYMBOLS + SYMBOLS**2 + three])
-
-    def presence(self, text: str, columns: np.ndarray) -> tuple[np.ndarray, int]:
-        """Which of the columns' n-grams the text has, and how many it has in all."""
-        g = self.grams(text)
-        self.seen[g] = True
-        out, n = self.seen[columns], int(np.count_nonzero(self.seen))
-        self.seen[g] = False
-        return out, n
+def grams(text: str) -> np.ndarray:
+    """The distinct n-grams of the text, sorted; none without letters."""
+    c = _letters()[_code_points(text)].astype(np.int64)
+    c[c == 0] = EDGE
+    c = np.concatenate([[EDGE], c, [EDGE]])
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] != EDGE) | (c[:-1] != EDGE)
+    c = c[keep]
+    if len(c) < 3:
+        return c[:0]
+    two = c[:-1] << 21 | c[1:]
+    return np.unique(np.concatenate([c, two, two[:-1] << 21 | c[2:]]))
+
+
+def presence(found: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Places in `columns` (sorted) of the n-grams found."""
+    at = np.minimum(np.searchsorted(columns, found), len(columns) - 1)
+    return at[columns[at] == found]
 
 
 def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> dict | None:
     """The model, of texts in hash order. All of it is small: landmarks x n-grams."""
     names = sorted(set(langs))
-    counts = Counter()
-    letters = _letters()
-    for t in texts:
-        counts.update(set(letters[np.unique(_code_points(t))].tolist()) - {0})
-    symbols = {p: i + 2 for i, (p, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2])}
-    alphabet = Alphabet(symbols)
-    grams = [np.unique(alphabet.grams(t)) for t in texts]
-    good = [i for i, g in enumerate(grams) if len(g)]
+    found = [grams(t) for t in texts]
+    good = [i for i, g in enumerate(found) if len(g)]
     if not good:
         return None
-    texts, langs, grams = ([x[i] for i in good] for x in (texts, langs, grams))
+    langs, found = [langs[i] for i in good], [found[i] for i in good]
     rank: Counter = Counter()
     order = []
     for i, lang in enumerate(langs):  # in turn one of each language
         order.append((rank[lang], i))
         rank[lang] += 1
-    marks = [i for _, i in sorted(order)[:landmarks]]
-    columns = np.unique(np.concatenate([grams[i] for i in marks]))
-    at = np.full(GRAMS, -1, np.int64)
-    at[columns] = np.arange(len(columns))
-    x = np.zeros((len(texts), len(columns)), np.float32)
-    for row, g in zip(x, grams):
-        p = at[g]
-        row[p[p >= 0]] = 1
-    sizes = np.array([len(g) for g in grams], np.float64)
+    marks = [i for _, i in sorted(order)[: max(landmarks, 2 * len(names))]]
+    columns = np.unique(np.concatenate([found[i] for i in marks]))
+    x = np.zeros((len(found), len(columns)), np.float32)
+    for row, g in zip(x, found):
+        row[presence(g, columns)] = 1
+    sizes = np.array([len(g) for g in found], np.float64)
     base = (x[marks] / np.sqrt(sizes[marks])[:, None].astype(np.float32)).T.copy()  # columns x landmarks
     k = (x @ base).astype(np.float64) / np.sqrt(sizes)[:, None]
     values, vectors = np.linalg.eigh(k[marks])
@@ -128,10 +109,10 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     weight = np.array([1 / rank[lang] for lang in langs])[:, None]  # languages count alike
     gram = f.T @ (weight * f) + ridge * np.eye(f.shape[1])
     w = np.linalg.solve(gram, f.T @ (weight * y))
-    return {"names": names, "symbols": symbols, "columns": columns, "base": base, "weights": nystroem @ w[:-1], "bias": w[-1]}
+    return {"names": names, "columns": columns, "base": base, "weights": nystroem @ w[:-1], "bias": w[-1]}
 
 
-def predict(model: dict | None, texts: list[str | None], alphabet: Alphabet | None) -> tuple[list[str], list[float]]:
+def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
     if model is None or not texts:
         return names, scores
@@ -139,7 +120,9 @@ def predict(model: dict | None, texts: list[str | None], alphabet: Alphabet | No
     n = np.zeros(len(texts))
     for i, t in enumerate(texts):
         if t:
-            x[i], n[i] = alphabet.presence(t, model["columns"])
+            g = grams(t)
+            x[i, presence(g, model["columns"])] = 1
+            n[i] = len(g)
     k = (x @ model["base"]) / np.sqrt(np.maximum(n, 1))[:, None]
     out = np.clip(k @ model["weights"] + model["bias"], 0, None)
     best = out.argmax(1)
@@ -153,7 +136,7 @@ def sample(docs: DataFrame, total: int = SAMPLE, longest: int = FIT_CHARS) -> tu
     """Texts and languages of up to `total` documents that aren't held out."""
     known = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).where((F.length("text") <= longest) & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(total).collect()  # a row for each language
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     if not counts:
         return [], []
     each = max(1, total // len(counts))
@@ -174,11 +157,10 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        alphabet = Alphabet(m["symbols"]) if m else None
         for part in chunks(batches, limit=2_000_000):
             for k in range(0, part.num_rows, 512):
                 some = part.slice(k, 512)
-                names, scores = predict(m, some.column(2).to_pylist(), alphabet)
+                names, scores = predict(m, some.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), some.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")

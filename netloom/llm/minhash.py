@@ -272,19 +272,41 @@ def _compare_blocks(member: DataFrame, labels: DataFrame, prints: DataFrame, lea
     blocks = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / BLOCK) - 1).cast("int"))
     minor = rows.where("c <> major").select("k", "u", "c", F.lit(0).alias("side"), block("minor").alias("p"), F.explode(blocks("all")).alias("q"))
     every = rows.select("k", "u", "c", F.lit(1).alias("side"), F.explode(blocks("minor")).alias("p"), block("all").alias("q"))
-    cells = minor.unionByName(every).join(prints, "u")
-
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
-        left, right = cell[cell.side == 0], cell[cell.side == 1]
-        sets = {u: unpack(x) for u, x in zip(cell.u, cell["items"])}
-        links = set()
-        for u, c in zip(left.u, left.c):
-            for v, d in zip(right.u, right.c):
+    cells = minor.unionByName(every).join(prints.select("u", "items"), "u")
+    cells = cells.repartition("k", "p", "q").sortWithinPartitions("k", "p", "q", "side", "u").select("k", "p", "q", "side", "u", "c", "items")
+
+    def compare(cell: list[tuple]) -> set[tuple[int, int]]:
+        links: set[tuple[int, int]] = set()
+        sets = {u: unpack(x) for _, u, _, x in cell}
+        right = [(v, d) for side, v, d, _ in cell if side]
+        sizes = np.array([len(sets[v]) for v, _ in right])
+        for side, u, c, _ in cell:
+            if side:
+                break
+            n = len(sets[u])
+            for j in np.flatnonzero((np.minimum(sizes, n) >= least * np.maximum(sizes, n) - 1e-9)).tolist():
+                v, d = right[j]
                 if c != d and (c, d) not in links and (d, c) not in links and similar(sets[u], sets[v], least):
                     links.add((c, d))
-        return pd.DataFrame(sorted(links), columns=["u", "v"], dtype="int64")
+        return links
 
-    return cells.groupBy("k", "p", "q").applyInPandas(compare, "u bigint, v bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Cells lie one after another in a partition; one is held at a time."""
+
+        def links() -> Iterator[tuple[int, int]]:
+            key, cell = None, []
+            for batch in batches:
+                for k, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (k, p, q) != key:
+                        yield from compare(cell)
+                        key, cell = (k, p, q), []
+                    cell.append(row)
+            yield from compare(cell)
+
+        found = sorted(set(links()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+    return cells.mapInArrow(run, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILAR) -> DataFrame:

@@ -51,3 +51,9 @@ def test_query_rows(docs, rows, empty, ranks, reference):
         want.append((d is None, d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
     assert bpe.encode_decode(empty, ranks).collect() == []
+
+
+def test_pattern_is_asserted():
+    bpe.check_pattern(P.PATTERN)
+    with pytest.raises(ValueError):
+        bpe.check_pattern(r"\w+|\W+")

@@ -1,3 +1,4 @@
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -5,6 +6,8 @@ import pytest
 
 from netloom.llm import exact_dedup, line_dedup, minhash
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("size", [16, 1])
 def test_exact(docs, rows, size):
@@ -144,6 +147,16 @@ def test_near(docs, rows):
     assert minhash.keep_one(docs).count() == len(classes(rows))
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables")
+def test_near_on_the_given_documents(spark):
+    """Recall and precision against all pairs of whole texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    want = {d: min(ids) for ids in classes(rows).values() for d in ids}
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    assert got == want and len(set(want.values())) < len(rows)
+
+
 def test_near_blocks_find_chained_links(spark):
     """Texts that are like their neighbours only: no leader reaches all of them."""
     w = [f"w{i}" for i in range(400)]

@@ -72,11 +72,52 @@ def test_language(spark, docs, empty):
     assert all(r.lang_pred == "und" for r in unknown)
 
 
+def letters(text):
+    """Its words as tuples of lower-case letters, and all n-grams over word boundaries."""
+    seq = [" "]
+    for c in text:
+        x = c.lower()[0] if c.isalpha() else " "
+        if x != " " or seq[-1] != " ":
+            seq.append(x)
+    if seq[-1] != " ":
+        seq.append(" ")
+    return {tuple(seq[i : i + n]) for n in (1, 2, 3) for i in range(len(seq) - n + 1)} if len(seq) > 1 else set()
+
+
 def test_kernel_by_hand():
-    a = langid.Alphabet({ord("a"): 2, ord("b"): 3})
-    grams = set(a.grams("ab").tolist())
-    _, n = a.presence("AB", np.arange(langid.GRAMS))
-    assert n == len(grams) == 3 + 3 + 2  # edge a b; edge-a a-b b-edge; two of three
+    assert len(langid.grams("AB")) == 3 + 3 + 2  # edge a b; edge-a a-b b-edge; two of three
+    for t in ("", "12 !", "Ab, ab", "дом 中文 x", "a" * 50, "Straße  İ"):
+        assert len(langid.grams(t)) == len(letters(t))
+
+
+def test_language_by_brute_force():
+    """Kernel, Nystroem map and ridge regressions again, with sets and a plain solve; scripts
+    that no other text has, ties, and a text without known n-grams."""
+    rng = np.random.default_rng(4)
+    make = {"a": "abcdef", "b": "defghi", "c": "абвгд", "d": "中文字母"}
+    texts, langs = [], []
+    for i in range(80):
+        k = "abcd"[i % 4]
+        texts.append(" ".join("".join(rng.choice(list(make[k]), rng.integers(2, 6))) for _ in range(8)))
+        langs.append(k)
+    model = langid.fit(texts, langs, 20)
+    marks = [i for _, i in sorted((sum(x == y for y in langs[:i]), i) for i, x in enumerate(langs))][:20]
+    sets = [letters(t) for t in texts]
+    kernel = lambda s, t: len(s & t) / math.sqrt(len(s) * len(t)) if s and t else 0.0
+    k = np.array([[kernel(s, sets[m]) for m in marks] for s in sets])
+    values, vectors = np.linalg.eigh(k[marks])
+    good = values > 1e-8 * values.max()
+    f = np.hstack([k @ (vectors[:, good] / np.sqrt(values[good])), np.ones((80, 1))])
+    w = np.linalg.solve(f.T @ f / 20 + langid.RIDGE * np.eye(f.shape[1]), f.T @ np.array([[x == y for y in "abcd"] for x in langs], float) / 20)
+    out = np.clip(f @ w, 0, None)
+    names, scores = langid.predict(model, texts)
+    assert names == ["abcd"[i] for i in out.argmax(1)] and np.allclose(scores, out.max(1) / out.sum(1), atol=1e-4)
+    assert langid.predict(model, ["вода", "文", None, "7", "Ωμ"])[0][:4] == ["c", "d", "und", "und"]
+    tie = langid.fit(["same text"] * 4, ["q", "p", "q", "p"])
+    assert langid.predict(tie, ["same text"])[0] == ["p"]
+    many = [(f"{chr(0x4E00 + i)}{chr(0x5E00 + i)}", f"l{i:03d}") for i in range(300)] * 2  # more languages than landmarks
+    model = langid.fit([t for t, _ in many], [x for _, x in many])
+    assert langid.predict(model, [t for t, _ in many])[0] == [x for _, x in many]
 
 
 def test_nearest_is_exact():
