@@ -79,16 +79,15 @@ class Terms:
         self.heads = {t.removesuffix("$")[:3] for t in self.base}
 
     def count(self, text: str | None) -> dict[int, int]:
-        heads, base, at, found, out = self.heads, self.base, self.at, Counter(), {}
-        for w, n in words(text).items():
-            if (i := at.get(w)) is not None:
-                out[i] = n
-            if w[:3] in heads:
-                if w + "$" in base:
-                    found[w + "$"] += n
-                for k in STEMS:
-                    if len(w) >= k and w[:k] in base:
-                        found[w[:k]] += n
+        heads, base, at, found, seen = self.heads, self.base, self.at, Counter(), words(text)
+        out = {at[w]: n for w, n in seen.items() if w in at}
+        for w in [w for w in seen if w[:3] in heads]:
+            n = seen[w]
+            if w + "$" in base:
+                found[w + "$"] += n
+            for k in STEMS:
+                if len(w) >= k and w[:k] in base:
+                    found[w[:k]] += n
         for t, n in found.items():
             if (i := self.marks.get(t)) is not None:
                 out[i] = n
@@ -180,22 +179,29 @@ class Index:
         scores = np.bincount(self.rows[take], self.weights[take] * np.repeat(weights[seldom], lengths), n)
         often, q = at[at >= 0], weights[at >= 0].astype(np.float32)
         bounds = np.maximum.reduceat(scores, self.starts) + q @ self.most[often]
-        found, cosines, worst = np.zeros(0, np.int64), np.zeros(0), -1.0
-        for b in np.argsort(-bounds, kind="stable"):
+        found, cosines, top, worst = [], [], np.zeros(0), -1.0
+        for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or bounds[b] < worst - 2e-6:
                 break
-            s = slice(self.starts[b], self.starts[b] + self.block)
-            mine = self.order[s]
-            c = (scores[s] + (q @ self.dense[b][often])[: len(mine)]).round(6)
-            good = np.flatnonzero((c > 0) & (c >= worst) & (mine != but))
-            if len(good):
-                found, cosines = np.concatenate([found, mine[good]]), np.concatenate([cosines, c[good]])
-                if len(found) > k:
-                    best = np.lexsort((found, -cosines))[:k]
-                    found, cosines = found[best], cosines[best]
-                if len(found) == k:
-                    worst = cosines.min()
-        best = np.lexsort((found, -cosines))
+            at = self.starts[b]
+            c = scores[at : at + self.block] + (q @ self.dense[b][often])[: n - at]
+            good = np.flatnonzero(c > max(worst - 1e-6, 0))
+            if not len(good):
+                continue
+            c, mine = c[good].round(6), self.order[at + good]
+            if but >= 0:
+                c, mine = c[mine != but], mine[mine != but]
+            found.append(mine)
+            cosines.append(c)
+            top = np.concatenate([top, c])
+            if len(top) >= k:
+                top = np.partition(top, -k)[-k:]
+                worst = float(top[0])
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0)
+        found, cosines = np.concatenate(found), np.concatenate(cosines)
+        good = np.flatnonzero((cosines > 0) & (cosines >= worst))
+        best = good[np.lexsort((found[good], -cosines[good]))][:k]
         return found[best], cosines[best]
 
 
@@ -218,10 +224,10 @@ class Model:
         return float((self.weight * self.toxic).sum() / self.weight.sum())
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found = sorted(self.terms.count(text).items())
-        columns = np.array([i for i, _ in found], np.int64)
-        values = (1 + np.log(np.array([n for _, n in found], np.float64))) * self.idf[columns]
-        n = np.sqrt((values**2).sum())
+        found = self.terms.count(text)
+        columns = np.fromiter(found.keys(), np.int64, len(found))
+        values = (1 + np.log(np.fromiter(found.values(), np.float64, len(found)))) * self.idf[columns]
+        n = math.sqrt(values @ values)
         return columns, (values / n if n else values)
 
     def _votes(self, columns: np.ndarray, weights: np.ndarray, but: int = -1) -> tuple[float | None, np.ndarray]:
