@@ -45,7 +45,7 @@ from netloom.llm.langid import held_out
 EACH, FIT_CHARS = 1500, 50_000
 CHI, LEAST_DF, LIFT, BOOST = 24.0, 3, 3.0, 4.0
 STEMS, LEVELS = (3, 4, 5, 6, 7), (2, 3, 5)
-BLOCK, COMMON, NEAREST = 128, 48, 15
+BLOCK, COMMON, NEAREST = 256, 300, 15
 _WORDS = re.compile(r"\w+")
 
 
