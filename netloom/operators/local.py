@@ -295,14 +295,18 @@ def edges_between(edges: DataFrame, low: float, high: float) -> DataFrame:
     return edges.where(F.col("weight").between(low, high))
 
 
-def ego(edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Union of the graphs induced by each seed and its neighbours; seeds: (v)."""
+def ego(edges: DataFrame, seeds: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Union of the graphs induced by each seed and its neighbours; seeds: (v). With
+    `vertices`, a seed without edges is there as well, alone."""
     h = halves(edges)
     near = h.join(seeds, "v", "left_semi").select("gid", F.col("v").alias("seed"), "u")
     member = near.union(near.select("gid", "seed", F.col("seed").alias("u"))).distinct()
     a, b = member.select("gid", "seed", F.col("u").alias("src")), member.select("gid", "seed", F.col("u").alias("dst"))
     kept = edges.join(a, ["gid", "src"]).join(b, ["gid", "seed", "dst"]).select(*edges.columns).distinct()
-    return member.select("gid", F.col("u").alias("v")).distinct(), kept
+    found = member.select("gid", F.col("u").alias("v"))
+    if vertices is not None:
+        found = found.unionByName(vertices.join(seeds, "v", "left_semi").select("gid", "v"))
+    return found.distinct(), kept
 
 
 def common_vertices(vertices: DataFrame, condition: str, any_graph: bool = False) -> DataFrame:

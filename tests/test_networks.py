@@ -207,3 +207,13 @@ def test_user_measures(nets, weights):
 def test_attacks_on_packed_graphs(nets, weights):
     r = M.robustness(nets.vertices, nets.edges, "vertex", "degree").toPandas()
     assert (r[r.gid == "g3"].comp_size.iloc[0]) == 1 and len(r[r.gid == "g1"]) == N + 1
+
+
+def test_ego_keeps_an_isolated_seed(spark):
+    from netloom.operators import local
+
+    v = spark.createDataFrame([("g", i) for i in range(4)], "gid string, v int")
+    e = spark.createDataFrame([("g", 0, 1, 1.0), ("g", 1, 2, 1.0)], "gid string, src int, dst int, weight double")
+    seeds = spark.createDataFrame([(0,), (3,)], "v int")
+    found, kept = local.ego(e, seeds, v)
+    assert sorted(r.v for r in found.collect()) == [0, 1, 3] and kept.count() == 1
