@@ -39,11 +39,14 @@ ABBREVIATIONS = (
 )
 
 
-def short_name(column: str, modality: str = "thickness") -> str:
-    """lh_precuneus_thickness -> lPCUN."""
+def short_name(column: str, modality: str = "thickness", parcellation: str = "aparc") -> str:
+    """lh_precuneus_thickness -> lPCUN. Names of aparc.a2009s stay whole, with dots for
+    hyphens: lh_G_temp_sup-Lateral_thickness -> lG_temp_sup.Lateral."""
     x = re.sub(rf"_{modality}$", "", column)
     x = re.sub(r"^(lh|left)[_-]", "l", x, flags=re.I)
     x = re.sub(r"^(rh|right)[_-]", "r", x, flags=re.I)
+    if parcellation == "aparc.a2009s":
+        return x.replace("-", ".")
     for long, short in ABBREVIATIONS:
         x = re.sub(long, short, x, flags=re.I)
     return x.replace("&", "_").replace("-", "_")
@@ -65,7 +68,7 @@ def read_hemispheres(spark: SparkSession, folder: str, parcellation: str = "apar
     for name in (f"{parcellation}_lh_{modality}.csv", f"{parcellation}_rh_{modality}.csv", *(["asegstats.csv"] if subcortical else [])):
         t = spark.read.option("header", True).csv(f"{folder}/{name}")
         keep = [c for c in t.columns[1:] if "mean" not in c.lower()][: 14 if name == "asegstats.csv" else None]
-        t = t.select(F.col(f"`{t.columns[0]}`").cast("string").alias("sid"), *(F.col(f"`{c}`").cast("double").alias(short_name(c, modality)) for c in keep))
+        t = t.select(F.col(f"`{t.columns[0]}`").cast("string").alias("sid"), *(F.col(f"`{c}`").cast("double").alias(short_name(c, modality, "aparc" if name == "asegstats.csv" else parcellation)) for c in keep))
         tables.append(t)
     tables = pad_ids(*tables)
     ids = [set(r["sid"] for r in t.select("sid").collect()) for t in tables]  # a study's subjects
@@ -74,7 +77,7 @@ def read_hemispheres(spark: SparkSession, folder: str, parcellation: str = "apar
     for t in tables[1:]:
         out = out.join(t, "sid")
     out = out.where(~F.col("sid").isin(list(exclude))) if exclude else out
-    columns = [c for c in out.columns if c != "sid"]
+    columns = [f"`{c}`" for c in out.columns if c != "sid"]  # names may hold dots
     return out.unpivot("sid", columns, "region", "value"), sorted(set(exclude) & set.union(*ids)), missing
 
 

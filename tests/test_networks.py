@@ -217,3 +217,13 @@ def test_ego_keeps_an_isolated_seed(spark):
     seeds = spark.createDataFrame([(0,), (3,)], "v int")
     found, kept = local.ego(e, seeds, v)
     assert sorted(r.v for r in found.collect()) == [0, 1, 3] and kept.count() == 1
+
+
+def test_whole_names_of_a_fine_parcellation(spark, tmp_path):
+    from netloom.sources import io
+
+    for h in ("lh", "rh"):
+        (tmp_path / f"aparc.a2009s_{h}_thickness.csv").write_text(f"id,{h}_G_temp_sup-Lateral_thickness,{h}_insula_thickness,{h}_Mean_thickness\n01,1.5,2,9\n02,3,4,9\n")
+    long, excluded, missing = io.read_hemispheres(spark, str(tmp_path), "aparc.a2009s", exclude=("02",))
+    assert {(r.sid, r.region, r.value) for r in long.collect()} == {("01", "lG_temp_sup.Lateral", 1.5), ("01", "linsula", 2.0), ("01", "rG_temp_sup.Lateral", 1.5), ("01", "rinsula", 2.0)}
+    assert excluded == ["02"] and missing == [] and io.short_name("lh_precuneus_thickness") == "lPCUN"
