@@ -16,6 +16,7 @@ from netloom.operators import measures as M
 from netloom.operators import model as O
 from netloom.operators.collection import Networks
 from netloom.plans import figures as P
+from netloom.plans import fitted_sql as Q
 from netloom.plans import fixtures as T
 from netloom.streaming.edges import windowed_edges
 
@@ -56,8 +57,9 @@ def r6(c: str, name: str | None = None) -> F.Column:
     return (F.round(F.col(c).cast("double"), 6) + 0.0).alias(name or c.split(".")[-1])
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*(r6(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, coarse: tuple[str, ...] = ()) -> DataFrame:
+    """To 6 places; `coarse` columns, whose values are large, to 3."""
+    return df.select(*((F.round(c, 3) + 0.0).alias(c) if c in coarse else r6(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
 def _ctes(**parts: str) -> str:
@@ -399,7 +401,7 @@ def vec_rescale(spark, sf):
     return rounded(X.rescale(d, "degree", ("gid",), 1.0, 3.0))
 
 
-@query()
+@query(sql(_CONN | dict(fr="SELECT v, hemi, lobe, avg(y) OVER (PARTITION BY hemi, lobe) AS front FROM reg", ps="SELECT v, row_number() OVER (ORDER BY hemi <> 'L', CASE WHEN hemi = 'L' THEN -front ELSE front END, lobe, v)::INT AS pos, count(*) OVER () AS n FROM fr"), "SELECT v, pos, round(cos(2 * pi() * (pos - 1) / n + 0.5::DOUBLE), 6) AS lx, round(sin(2 * pi() * (pos - 1) / n + 0.5::DOUBLE), 6) AS ly FROM ps"))
 def layout(spark, sf):
     return rounded(R.rotate(R.circular_layout(T.regions(spark, sf)), 0.5))
 
@@ -507,7 +509,7 @@ def participation_kernel(spark, sf):
     return rounded(M.wide(M.vertex_measures(v, e, ["PC"], g), ["PC"], ("gid", "v")))
 
 
-@query()
+@query(sql(_BTW | dict(eb="SELECT e.gid, e.src, e.dst, sum(a.n * b.n / c.n) AS b FROM edges e JOIN sig a ON a.gid = e.gid AND a.t = e.src JOIN sig b ON b.gid = e.gid AND b.s = e.dst JOIN sig c ON c.gid = e.gid AND c.s = a.s AND c.t = b.t AND c.d = a.d + b.d + 1 GROUP BY ALL"), "SELECT gid, src, dst, round(b, 6) AS btwn FROM eb"))
 def edge_betweenness(spark, sf):
     return rounded(M.edge_betweenness(*T.graph(spark, sf)))
 
@@ -652,7 +654,7 @@ def corr_density_graph(spark, sf, y):
     return rounded(S.correlation_edges(S.correlations(y), T.doubles(spark, "density", 0.1, 0.3, 1.0)))
 
 
-@query()
+@query(sql(_corr_sql(), "SELECT grp, r1, r2, n, round(r, 6) AS r, round(" + Q.t_two_sided("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)") + ", 6) AS p FROM corr_"))
 def corr_p_values(spark, sf):
     return rounded(S.correlation_p(S.correlations(T.cohort(spark, sf))))
 
@@ -690,7 +692,7 @@ def ic_summary(spark, sf, y):
     return rounded(S.contribution_summary(S.contribution_regional(S.loo_pairs(y))))
 
 
-@query()
+@query(sql(_LOO | dict(gl="SELECT grp, sid, 1 - corr(r, q) AS ic FROM lo GROUP BY ALL"), "SELECT grp, " + ", ".join(f"round(quantile_cont(ic, {x}::DOUBLE), 6) AS q{int(100 * x)}" for x in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)) + ", round(avg(ic), 6) AS mean FROM gl GROUP BY grp"))
 def ic_global_summary(spark, sf):
     return rounded(S.global_summary(S.contribution_global(S.loo_pairs(T.cohort(spark, sf)))))
 
@@ -707,7 +709,7 @@ def residuals_group(spark, sf, y):
     return rounded(S.residuals(y, _cohort_covars(spark, sf)))
 
 
-@query()
+@query(sql(_COHORT | dict(hm="SELECT *, avg(value) OVER (PARTITION BY sid, d <= dims // 2) AS m FROM (SELECT co.grp, co.sid, co.d, 'd' || lpad(co.d::VARCHAR, 2, '0') AS region, round(co.x::DOUBLE, 4) AS value, max(co.d) OVER () AS dims FROM co)", rg="SELECT grp, region, count(*) AS n, avg(m) AS mm, avg(value) AS mv, sum(m * m) - count(*) * avg(m) * avg(m) AS sxx, regr_slope(value, m) AS slope FROM hm GROUP BY ALL", rs="SELECT hm.grp, sid, region, n, value - mv - slope * (m - mm) AS e, 1.0::DOUBLE / n + (m - mm) * (m - mm) / sxx AS h FROM hm JOIN rg USING (grp, region)", rt="SELECT *, sum(e * e) OVER (PARTITION BY grp, region) AS rss FROM rs"), "SELECT grp, sid, region, round(e / sqrt((rss - e * e / (1 - h)) / (n - 3) * (1 - h)), 6) AS value FROM rt"))
 def residuals_by_hemisphere(spark, sf):
     return rounded(S.residuals(T.cohort(spark, sf), _cohort_covars(spark, sf), by_group=True, hemi_mean=True))
 
@@ -756,6 +758,34 @@ _ANCOVA = _GRAPH | dict(
 )
 
 
+_MODEL_ROWS = _GRAPH | dict(
+    cv="SELECT strftime(o_orderdate, '%Y-%m') AS sid, sum(round(o_totalprice * 100)::BIGINT) / count(*)::DOUBLE / 1e7 AS age, count(*)::DOUBLE AS load, 'S' || (any_value(month(o_orderdate)) % 3) AS scanner FROM orders GROUP BY ALL",
+    mr="SELECT 'r' || lpad(v::VARCHAR, 2, '0') AS region, sid, grp, age, load, scanner, (grp = 'B')::INT AS b, coalesce(sum(w), 0)::DOUBLE AS value FROM grps JOIN cv USING (sid) CROSS JOIN reg LEFT JOIN (SELECT sid, i AS v, w FROM sym UNION ALL SELECT sid, j, w FROM sym) USING (sid, v) GROUP BY ALL",
+)
+_FIT = _MODEL_ROWS | Q.least_squares(["1", "age", "b"], "mr")
+_SEEN = _FIT | Q.observed(3)
+_OBS = "region, sid, round(fitted, 3) AS fitted, round(e, 3) AS resid, round(h, 6) AS hat, round(rstandard, 6) AS rstandard, "
+_FLAGS = "flag_dfb, flag_dffit, flag_cov_r, flag_cook_d, flag_hat"
+_TESTED = "round(estimate, 3) AS estimate, round(se, 3) AS se, round(estimate - hi * se, 3) AS ci_low, round(estimate + hi * se, 3) AS ci_high, round(estimate / se, 6) AS t, round(" + Q.t_two_sided("(estimate / se)", "cr.df") + ", 6) AS p"
+_LARGE = ("estimate", "se", "ci_low", "ci_high", "gamma", "fitted", "resid", "sum_sq", "mean_sq")
+
+
+def _coefficient_sql(x: list[str], terms: list[str]) -> str:
+    parts = _MODEL_ROWS | Q.least_squares(x, "mr") | dict(cr=Q.coefficient_rows(terms), tq=Q.quantile("(SELECT min(df) FROM sg)"))
+    return sql(parts, f"SELECT region, term, {_TESTED} FROM cr, tq WHERE k = 56")
+
+
+def _contrast_sql(select: str, contrasts: dict[str, int]) -> str:
+    """Statistics of single coefficients, by contrast: cs(region, contrast, ..., p_fdr)."""
+    rows = " UNION ALL ".join(f"SELECT region, '{c}' AS contrast, beta[{i}] AS gamma, sqrt(s2 * s[{i}][{i}]) AS se, df FROM co JOIN sg USING (region), inv" for c, i in contrasts.items())
+    return sql(_FIT | dict(
+        cr=rows, tq=Q.quantile("(SELECT min(df) FROM sg)"),
+        c1="SELECT region, contrast, gamma, se, gamma / se AS stat, " + Q.t_two_sided("(gamma / se)", "cr.df") + " AS p, gamma - hi * se AS ci_low, gamma + hi * se AS ci_high FROM cr, tq WHERE k = 56",
+        c2="SELECT *, row_number() OVER (PARTITION BY contrast ORDER BY p) AS r, count(*) OVER (PARTITION BY contrast) AS n FROM c1",
+        cs="SELECT *, least(1, min(p * n / r) OVER (PARTITION BY contrast ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS p_fdr FROM c2",
+    ), select)
+
+
 @query(sql(_ANCOVA, "SELECT 'r' || lpad(v::VARCHAR, 2, '0') AS region, round(beta, 4) AS estimate, round(sqrt(s2 / sxx), 4) AS se, round(beta / sqrt(s2 / sxx), 6) AS t FROM st"))
 def glm_ancova(spark, sf):
     out = G.coefficients(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp")).where("term = 'age'")
@@ -768,19 +798,19 @@ def glm_f_contrast(spark, sf):
     return rounded(out.select("region", "stat"))
 
 
-@query()
+@query(sql(_MODEL_ROWS | dict(mc="SELECT * EXCLUDE (b), age - avg(age) OVER (PARTITION BY region) AS ac, CASE WHEN grp = 'B' THEN 1 ELSE -1 END AS b, (scanner = 'S1')::INT - (scanner = 'S0')::INT AS k1, (scanner = 'S2')::INT - (scanner = 'S0')::INT AS k2 FROM mr", mk="SELECT mc.*, a.ac AS am FROM mc JOIN (SELECT sid, any_value(ac) AS ac FROM mc GROUP BY sid) a USING (sid)") | Q.least_squares(["1", "am", "b", "k1", "k2", "am * b"], "mk") | dict(cr=Q.coefficient_rows(["Intercept", "age", "grpB", "scannerS1", "scannerS2", "age:grpB"]), tq=Q.quantile("(SELECT min(df) FROM sg)")), f"SELECT region, term, {_TESTED} FROM cr, tq WHERE k = 56"))
 def glm_effects_coding(spark, sf):
-    return rounded(G.coefficients(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp", "scanner"), coding="effects", interactions=("age", "grp"), center=True))
+    return rounded(G.coefficients(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp", "scanner"), coding="effects", interactions=("age", "grp"), center=True), _LARGE)
 
 
-@query()
+@query(_coefficient_sql(["age", "grp = 'A'", "b"], ["age", "grpA", "grpB"]))
 def glm_cell_means(spark, sf):
-    return rounded(G.coefficients(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp"), coding="cell.means"))
+    return rounded(G.coefficients(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp"), coding="cell.means"), _LARGE)
 
 
-@query()
+@query(sql(_SEEN, f"SELECT {_OBS} round(rstudent, 6) AS rstudent, round(cooks, 6) AS cooks, round(dffits, 6) AS dffits, round(covratio, 6) AS covratio, {_FLAGS} FROM od"))
 def glm_observations(spark, sf):
-    return rounded(G.observations(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp")))
+    return rounded(G.observations(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp")), _LARGE)
 
 
 @query(sql(_ANCOVA | dict(rr="SELECT v, (count(*) - 3) * any_value(st.s2) AS rss, sum(power(value - m, 2)) AS tss, count(*) AS n, any_value(st.s2) AS s2 FROM (SELECT *, avg(value) OVER (PARTITION BY v) AS m FROM ce) JOIN st USING (v) GROUP BY v"), "SELECT 'r' || lpad(v::VARCHAR, 2, '0') AS region, round(sqrt(s2), 4) AS sigma, round(1 - rss / tss, 6) AS r2, round(1 - rss / tss * (n - 1) / (n - 3), 6) AS adj_r2, round(n * ln(rss / n) + 6, 4) AS aic FROM rr"))
@@ -789,9 +819,12 @@ def glm_fit_statistics(spark, sf):
     return out.select("region", F.round("sigma", 4).alias("sigma"), r6("r2"), r6("adj_r2"), F.round("aic", 4).alias("aic"))
 
 
-@query()
+@query(sql(_MODEL_ROWS | Q.least_squares(["1", "age", "b", "scanner = 'S1'", "scanner = 'S2'"], "mr") | dict(
+        ta="SELECT region, 'age' AS term, pow(beta[2], 2) / s[2][2] AS ss, 1 AS k FROM co, inv UNION ALL SELECT region, 'grp', pow(beta[3], 2) / s[3][3], 1 FROM co, inv UNION ALL SELECT region, 'scanner', (pow(beta[4], 2) * s[5][5] - 2 * beta[4] * beta[5] * s[4][5] + pow(beta[5], 2) * s[4][4]) / (s[4][4] * s[5][5] - s[4][5] * s[4][5]), 2 FROM co, inv",
+        tb="SELECT *, rss + sum(ss) OVER (PARTITION BY region) AS total, ss / k / s2 AS f FROM ta JOIN sg USING (region)",
+    ), "SELECT region, term, round(ss, 3) AS sum_sq, round(ss / k, 3) AS mean_sq, k::DOUBLE AS df, round(f, 6) AS f, round(ss / total, 6) AS eta_sq, round(ss / (ss + rss), 6) AS partial_eta_sq, round((ss - k * s2) / (total + s2), 6) AS omega_sq, round((ss - k * s2) / (ss + (n - k) * s2), 6) AS partial_omega_sq, round(CASE WHEN k = 1 THEN " + Q.t_two_sided("sqrt(f)", "tb.df") + " ELSE pow(1 + 2 * f / tb.df, -tb.df / 2.0::DOUBLE) END, 6) AS p FROM tb UNION ALL SELECT region, 'Residuals', round(rss, 3), round(s2, 3), df::DOUBLE, NULL, NULL, NULL, NULL, NULL, NULL FROM sg"))
 def glm_anova(spark, sf):
-    return rounded(G.anova(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp", "scanner")))
+    return rounded(G.anova(T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp", "scanner")), _LARGE)
 
 
 @query()
@@ -853,41 +886,45 @@ def glm_predictive_residuals(spark, sf):
     return m.rstandard("predictive").join(T.groups(spark, sf), "sid").select("region", "sid", F.col("grp").alias("term"), F.round("rstandard", 4).alias("resid"))
 
 
-@query()
+@query(sql(_FIT, "SELECT region, sid, 'age' AS term, round(e + x[2] * beta[2] - avg(x[2] * beta[2]) OVER q, 3) AS resid FROM ob JOIN co USING (region) WINDOW q AS (PARTITION BY region) UNION ALL SELECT region, sid, 'grp', round(e + x[3] * beta[3] - avg(x[3] * beta[3]) OVER q, 3) FROM ob JOIN co USING (region) WINDOW q AS (PARTITION BY region)"))
 def glm_partial_residuals(spark, sf):
-    return rounded(_model(spark, sf, "age", "grp").residuals("partial"))
+    return rounded(_model(spark, sf, "age", "grp").residuals("partial"), _LARGE)
 
 
-@query()
+@query(sql(_SEEN, " UNION ALL ".join(f"SELECT region, sid, '{t}' AS term, round(dfbetas[{i}], 6) AS dfbeta FROM od" for i, t in enumerate(("Intercept", "age", "grpB"), 1))))
 def glm_dfbetas(spark, sf):
     return rounded(_model(spark, sf, "age", "grp").dfbeta(True))
 
 
-@query()
+@query(sql(_SEEN, f"SELECT {_OBS} round(rstudent, 6) AS rstudent, round(cooks, 6) AS cooks, round(dffits, 6) AS dffits, round(covratio, 6) AS covratio, {_FLAGS}, round(dfbetas[1], 6) AS \"Intercept\", round(dfbetas[2], 6) AS age, round(dfbetas[3], 6) AS \"grpB\" FROM od WHERE flag_dfb OR flag_dffit OR flag_cov_r OR flag_cook_d OR flag_hat"))
 def glm_influence(spark, sf):
-    return rounded(_model(spark, sf, "age", "grp").influence_wide())
+    return rounded(_model(spark, sf, "age", "grp").influence_wide(), _LARGE)
 
 
-@query()
+@query(sql(_SEEN, f"SELECT {_OBS} round(cooks, 6) AS cooks, round(sqrt(abs(rstandard)), 6) AS scale, round((row_number() OVER (PARTITION BY region ORDER BY rstandard, sid) - 0.5::DOUBLE) / n, 6) AS quantile_at, row_number() OVER (PARTITION BY region ORDER BY cooks DESC, sid)::INT AS cooks_rank, abs(e) > avg(abs(e)) OVER q + 2 * stddev_samp(abs(e)) OVER q AS outlier, round(h / (1 - h), 6) AS leverage FROM od WINDOW q AS (PARTITION BY region)"))
 def glm_diagnostics(spark, sf):
-    return rounded(P.diagnostics(_model(spark, sf, "age", "grp").observations()))
+    return rounded(P.diagnostics(_model(spark, sf, "age", "grp").observations()), _LARGE)
 
 
-@query()
+@query(sql(_MODEL_ROWS | Q.least_squares(["1", "age", "load", "b", "scanner = 'S1'", "scanner = 'S2'"], "mr") | dict(
+        cn="SELECT g0.m AS m, s FROM g0, inv",
+        cc="SELECT s, [[m[i][j] - m[1][i] * m[1][j] / m[1][1] for j in range(1, 7)] for i in range(1, 7)] AS c FROM cn",
+        vf="SELECT 'age' AS term, s[2][2] * c[2][2] AS g, 1 AS df FROM cc UNION ALL SELECT 'load', s[3][3] * c[3][3], 1 FROM cc UNION ALL SELECT 'grp', s[4][4] * c[4][4], 1 FROM cc UNION ALL SELECT 'scanner', (s[5][5] * s[6][6] - pow(s[5][6], 2)) * (c[5][5] * c[6][6] - pow(c[5][6], 2)), 2 FROM cc",
+    ), "SELECT term, round(g, 6) AS gvif, df::BIGINT AS df, round(pow(g, 1 / (2.0::DOUBLE * df)), 6) AS gvif_scaled FROM vf"))
 def glm_vif(spark, sf):
     return rounded(spark.createDataFrame(_model(spark, sf, "age", "load", "grp", "scanner").vif(), "term string, gvif double, df long, gvif_scaled double"))
 
 
-@query()
+@query(_contrast_sql("SELECT region, contrast, round(gamma, 3) AS gamma, round(se, 3) AS se, round(stat, 6) AS stat, round(p, 6) AS p, round(ci_low, 3) AS ci_low, round(ci_high, 3) AS ci_high, round(p_fdr, 6) AS p_fdr FROM cs WHERE p < 0.2", {"B over A": 3}))
 def glm_summary(spark, sf):
-    return rounded(_model(spark, sf, "age", "grp", contrasts={"B over A": [0, 0, 1]}).summary(alpha=0.2))
+    return rounded(_model(spark, sf, "age", "grp", contrasts={"B over A": [0, 0, 1]}).summary(alpha=0.2), _LARGE)
 
 
-@query()
+@query(_contrast_sql("SELECT contrast AS gid, region, right(region, 2)::INT AS v, round(gamma, 3) AS gamma, round(se, 3) AS se, round(stat, 6) AS stat, round(1 - p, 6) AS p, round(ci_low, 3) AS ci_low, round(ci_high, 3) AS ci_high, round(1 - p_fdr, 6) AS p_fdr FROM cs", {"age": 2, "B over A": 3}))
 def glm_result_graphs(spark, sf):
     stats = _model(spark, sf, "age", "grp", contrasts={"age": [0, 1, 0], "B over A": [0, 0, 1]}).statistics()
     atlas = T.regions(spark, sf).withColumn("name", F.format_string("r%02d", "v"))
-    return rounded(Networks.of_results(stats, atlas).vertices)
+    return rounded(Networks.of_results(stats, atlas).vertices, _LARGE)
 
 
 @query()
