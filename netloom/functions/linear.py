@@ -264,6 +264,22 @@ class Randomiser:
         return self._stat(m, hat, hat @ hat.T, self.y)
 
 
+class RegionRandomiser:
+    """The same for a design of each region, X (n, p, r), and one outcome y (n,). Regions
+    whose design is singular or not finite take no part in the null."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, contrast: np.ndarray, kind: str = "t", method: str = "freedmanLane", part: str = "beckmann"):
+        whole = [k for k in range(x.shape[2]) if np.isfinite(x[:, :, k]).all() and np.linalg.matrix_rank(x[:, :, k]) == x.shape[1]]
+        self.each = [Randomiser(x[:, :, k], y, contrast, kind, method, part) for k in whole]
+
+    def __call__(self, order: np.ndarray) -> np.ndarray:
+        return np.array([r(order)[0] for r in self.each])
+
+
+def randomiser(x: np.ndarray, y: np.ndarray, *args):
+    return (Randomiser if x.ndim == 2 else RegionRandomiser)(x, y, *args)
+
+
 def extreme(stat: np.ndarray, alternative: str = "two.sided") -> float:
     """The maximum statistic of a permutation."""
     s = stat[np.isfinite(stat)]

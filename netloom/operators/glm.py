@@ -31,24 +31,55 @@ def complete(covars: pd.DataFrame) -> tuple[pd.DataFrame, list[str]]:
     return ok, sorted(set(covars.sid) - set(ok.sid))
 
 
+class Study:
+    """The complete covariates, and what makes a region's design and outcome of its values.
+    Normally the values are the outcome and all regions share a design. With `outcome`, a
+    covariate, that is explained instead and the values are a regressor, named `measure` and
+    last of the numeric ones: so every region has a design of its own."""
+
+    def __init__(self, covars: pd.DataFrame, outcome: str | None = None, measure: str = "value", **coding):
+        self.ok, self.left_out = complete(covars)
+        self.sids, self.outcome, self.measure, self.coding = self.ok.sid.tolist(), outcome, measure, coding
+        self.own = self.ok.drop(columns=["sid", *([outcome] if outcome else [])])
+        self.shared = self.design(np.arange(len(self.ok), dtype=float))
+
+    def design(self, v: np.ndarray) -> L.Design:
+        return L.design(self.own if self.outcome is None else self.own.assign(**{self.measure: v}), **self.coding)
+
+    def of(self, v: np.ndarray) -> tuple[L.Design, np.ndarray] | None:
+        """Design and outcome of a region; None if a value is missing or all are the same."""
+        if not np.isfinite(v).all() or np.ptp(v) == 0:
+            return None
+        if self.outcome is None:
+            return self.shared, v
+        d = self.design(v)
+        return (d, self.ok[self.outcome].to_numpy(float)) if np.linalg.matrix_rank(d.x) == d.x.shape[1] else None
+
+    def stacked(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """X and Y over all regions' values (n, r): a design and the values, or designs
+        (n, p, r) and the outcome."""
+        values = values[:, np.isfinite(values).all(0)]
+        if self.outcome is None:
+            return self.shared.x, values
+        return np.stack([self.design(v).x for v in values.T], 2) if values.size else np.zeros((*self.shared.x.shape, 0)), self.ok[self.outcome].to_numpy(float)
+
+
 def _vector(cell: pd.DataFrame, sids: list[str]) -> np.ndarray:
     return cell.set_index("sid")["value"].reindex(sids).to_numpy(float)
 
 
 def glm(y: DataFrame, covars: pd.DataFrame, contrasts, kind: str = "t", alternative: str = "two.sided", alpha: float = 0.05, names: list[str] | None = None, **coding) -> DataFrame:
     """region, contrast, gamma (F: ess), se, stat, p, p_fdr, ci_low, ci_high. Regions with a
-    missing value or a constant outcome have NULL statistics."""
-    ok, _ = complete(covars)
-    d = L.design(ok.drop(columns="sid"), **coding)
-    items, names = L.contrast_list(contrasts, kind, d.x.shape[1], names)
-    sids = ok.sid.tolist()
+    missing value, constant values or a singular design have NULL statistics. `outcome` and
+    `measure` (in `coding`, as everywhere here): see Study."""
+    study = Study(covars, **coding)
+    items, names = L.contrast_list(contrasts, kind, study.shared.x.shape[1], names)
 
     def one(cell: pd.DataFrame) -> pd.DataFrame:
-        region, v, out = cell.region.iloc[0], _vector(cell, sids), []
-        bad = not np.isfinite(v).all() or np.ptp(v) == 0
-        f = None if bad else L.fit(d.x, v)
+        region, made, out = cell.region.iloc[0], study.of(_vector(cell, study.sids)), []
+        f = made and L.fit(made[0].x, made[1])
         for c, name in zip(items, names):
-            if bad:
+            if f is None:
                 out.append((region, name, *[None] * 6))
                 continue
             s = L.t_test(f, c, alternative, alpha) if kind == "t" else L.f_test(f, c)
@@ -62,11 +93,14 @@ def glm(y: DataFrame, covars: pd.DataFrame, contrasts, kind: str = "t", alternat
 
 def coefficients(y: DataFrame, covars: pd.DataFrame, level: float = 0.95, **coding) -> DataFrame:
     """region, term, estimate, se, ci_low, ci_high, t, p."""
-    ok, _ = complete(covars)
-    d, sids = L.design(ok.drop(columns="sid"), **coding), ok.sid.tolist()
+    study = Study(covars, **coding)
+    columns = ["region", "term", "estimate", "se", "ci_low", "ci_high", "t", "p"]
 
     def one(cell: pd.DataFrame) -> pd.DataFrame:
-        f = L.fit(d.x, _vector(cell, sids))
+        made = study.of(_vector(cell, study.sids))
+        if made is None:
+            return pd.DataFrame(columns=columns)
+        d, f = made[0], L.fit(made[0].x, made[1])
         se = L.coef_se(f)[:, 0]
         lo, hi = L.confint(f, level)
         t = f.beta[:, 0] / se
@@ -78,16 +112,18 @@ def coefficients(y: DataFrame, covars: pd.DataFrame, level: float = 0.95, **codi
 def observations(y: DataFrame, covars: pd.DataFrame, **coding) -> DataFrame:
     """region, sid, fitted, resid, hat, rstandard, rstudent, cooks, dffits, covratio and the
     influence flags."""
-    ok, _ = complete(covars)
-    d, sids = L.design(ok.drop(columns="sid"), **coding), ok.sid.tolist()
+    study = Study(covars, **coding)
     values = ("fitted", "resid", "hat", "rstandard", "rstudent", "cooks", "dffits", "covratio")
     flags = ("dfb", "dffit", "cov_r", "cook_d", "hat")
 
     def one(cell: pd.DataFrame) -> pd.DataFrame:
-        f = L.fit(d.x, _vector(cell, sids))
+        made = study.of(_vector(cell, study.sids))
+        if made is None:
+            return pd.DataFrame(columns=["region", "sid", *values, *("flag_" + k for k in flags)])
+        f = L.fit(made[0].x, made[1])
         v = (f.fitted, f.resid, L.hat_values(f), L.rstandard(f), L.rstudent(f), L.cooks(f), L.dffits(f), L.covratio(f))
         w = L.influence_flags(f)
-        out = pd.DataFrame({"region": cell.region.iloc[0], "sid": sids} | {k: x[:, 0] for k, x in zip(values, v)})
+        out = pd.DataFrame({"region": cell.region.iloc[0], "sid": study.sids} | {k: x[:, 0] for k, x in zip(values, v)})
         for k in flags:
             out["flag_" + k] = w[k][:, 0]
         return out
@@ -97,24 +133,29 @@ def observations(y: DataFrame, covars: pd.DataFrame, **coding) -> DataFrame:
 
 def fit_statistics(y: DataFrame, covars: pd.DataFrame, **coding) -> DataFrame:
     """region, sigma, deviance, r2, adj_r2, log_lik, log_lik_reml, aic, df."""
-    ok, _ = complete(covars)
-    d, sids = L.design(ok.drop(columns="sid"), **coding), ok.sid.tolist()
+    study = Study(covars, **coding)
+    columns = ["region", "sigma", "deviance", "r2", "adj_r2", "log_lik", "log_lik_reml", "aic", "df"]
 
     def one(cell: pd.DataFrame) -> pd.DataFrame:
-        f = L.fit(d.x, _vector(cell, sids))
+        made = study.of(_vector(cell, study.sids))
+        if made is None:
+            return pd.DataFrame(columns=columns)
+        f = L.fit(made[0].x, made[1])
         row = (f.sigma, L.deviance(f), L.r_squared(f), L.r_squared(f, True), L.log_lik(f), L.log_lik(f, True), L.aic(f)[1])
-        return pd.DataFrame([(cell.region.iloc[0], *(float(x[0]) for x in row), f.df)], columns=["region", "sigma", "deviance", "r2", "adj_r2", "log_lik", "log_lik_reml", "aic", "df"])
+        return pd.DataFrame([(cell.region.iloc[0], *(float(x[0]) for x in row), f.df)], columns=columns)
 
     return y.groupBy("region").applyInPandas(one, "region string, sigma double, deviance double, r2 double, adj_r2 double, log_lik double, log_lik_reml double, aic double, df int")
 
 
 def anova(y: DataFrame, covars: pd.DataFrame, **coding) -> DataFrame:
-    ok, _ = complete(covars)
-    d, sids = L.design(ok.drop(columns="sid"), **coding), ok.sid.tolist()
+    study = Study(covars, **coding)
     columns = ("sum_sq", "mean_sq", "df", "f", "eta_sq", "partial_eta_sq", "omega_sq", "partial_omega_sq", "p")
 
     def one(cell: pd.DataFrame) -> pd.DataFrame:
-        t = L.anova3(d, _vector(cell, sids))
+        made = study.of(_vector(cell, study.sids))
+        if made is None:
+            return pd.DataFrame(columns=["region", "term", *columns])
+        t = L.anova3(*made)
         t.insert(0, "region", cell.region.iloc[0])
         return t.astype({c: float for c in columns}).replace({np.nan: None})
 
@@ -140,17 +181,14 @@ def collected(y: DataFrame, sids: list[str]) -> tuple[list[str], np.ndarray]:
 def permutation_null(y: DataFrame, covars: pd.DataFrame, contrasts, kind: str = "t", method: str = "freedmanLane", part: str = "beckmann", n: int = 5000, seed: int = 0, alternative: str = "two.sided", perms: np.ndarray | None = None, chunk: int = 250, **coding) -> DataFrame:
     """contrast, perm_id, extreme: the maximum statistic over regions of each permutation."""
     spark = y.sparkSession
-    ok, _ = complete(covars)
-    d = L.design(ok.drop(columns="sid"), **coding)
-    items, names = L.contrast_list(contrasts, kind, d.x.shape[1])
-    _, values = collected(y, ok.sid.tolist())
-    values = values[:, np.isfinite(values).all(0)]
-    shared = spark.sparkContext.broadcast((d.x, values, items, names, perms))
+    study = Study(covars, **coding)
+    items, names = L.contrast_list(contrasts, kind, study.shared.x.shape[1])
+    shared = spark.sparkContext.broadcast((*study.stacked(collected(y, study.sids)[1]), items, names, perms))
     n = n if perms is None else len(perms)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, v, items, names, perms = shared.value
-        made = [L.Randomiser(x, v, c, kind, method, part) for c in items]
+        made = [L.randomiser(x, v, c, kind, method, part) for c in items]
         for b in batches:
             out = []
             for p in b.id.tolist():
@@ -256,14 +294,13 @@ def mtpc(y: DataFrame, covars: pd.DataFrame, contrasts, kind: str = "t", clust:
     region, a_mtpc, a_crit, tau_mtpc, s_mtpc, significant). All thresholds share the
     permutations and run in one pass."""
     spark = y.sparkSession
-    ok, _ = complete(covars)
-    d, sids = L.design(ok.drop(columns="sid"), **coding), ok.sid.tolist()
-    items, names = L.contrast_list(contrasts, kind, d.x.shape[1])
+    study = Study(covars, **coding)
+    items, names = L.contrast_list(contrasts, kind, study.shared.x.shape[1])
 
     def one(cell: pd.DataFrame) -> pd.DataFrame:
-        v, out = _vector(cell, sids), []
-        if np.isfinite(v).all() and np.ptp(v) > 0:
-            f = L.fit(d.x, v)
+        made, out = study.of(_vector(cell, study.sids)), []
+        if made is not None:
+            f = L.fit(made[0].x, made[1])
             out = [(cell.tau.iloc[0], cell.region.iloc[0], name, _num((L.t_test(f, c, alternative) if kind == "t" else L.f_test(f, c))["stat"][0])) for c, name in zip(items, names)]
         return pd.DataFrame(out, columns=["tau", "region", "contrast", "stat"])
 
@@ -271,17 +308,19 @@ def mtpc(y: DataFrame, covars: pd.DataFrame, contrasts, kind: str = "t", clust:
     cells = y.groupBy("tau", "region").agg(F.map_from_entries(F.collect_list(F.struct("sid", "value"))).alias("m")).orderBy("tau", "region").collect()  # thresholds x regions x subjects
     by_tau: dict[float, list[np.ndarray]] = {}
     for r in cells:
-        by_tau.setdefault(r["tau"], []).append(np.array([r["m"].get(s, np.nan) for s in sids], float))
+        by_tau.setdefault(r["tau"], []).append(np.array([r["m"].get(s, np.nan) for s in study.sids], float))
     blocks = {t: np.array([v for v in vs if np.isfinite(v).all()]).T for t, vs in by_tau.items()}
-    shared = spark.sparkContext.broadcast((d.x, {t: b for t, b in blocks.items() if b.size}, items, names))
+    shared = spark.sparkContext.broadcast(({t: study.stacked(b) for t, b in blocks.items() if b.size}, items, names))
+
+    n_obs = len(study.sids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, blocks, items, names = shared.value
-        made = {(t, name): L.Randomiser(x, v, c, kind, method, part) for t, v in blocks.items() for c, name in zip(items, names)}
+        blocks, items, names = shared.value
+        made = {(t, name): L.randomiser(x, v, c, kind, method, part) for t, (x, v) in blocks.items() for c, name in zip(items, names)}
         for b in batches:
             out = []
             for p in b.id.tolist():
-                order = _order(seed, p, len(x), None)
+                order = _order(seed, p, n_obs, None)
                 out += [(name, p, t, _num(L.extreme(r(order), alternative if kind == "t" else "greater"))) for (t, name), r in made.items()]
             yield pd.DataFrame(out, columns=["contrast", "perm_id", "tau", "stat"])
 

@@ -7,7 +7,7 @@ design alone (terms, names, degrees of freedom) is on the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import numpy as np
@@ -36,22 +36,29 @@ class LinearModel:
     names: list[str] | None = None
     coding: dict = field(default_factory=dict)
     outcome: str = "value"
+    #: a covariate to explain by the measure, which then is a regressor: a design by region
+    response: str | None = None
 
     # the design
 
+    @property
+    def _how(self) -> dict:
+        return self.coding | ({"outcome": self.response, "measure": self.outcome} if self.response else {})
+
     @cached_property
-    def _complete(self) -> tuple[pd.DataFrame, list[str]]:
-        return G.complete(self.covars)
+    def _study(self) -> G.Study:
+        return G.Study(self.covars, **self._how)
 
     @cached_property
     def design(self) -> L.Design:
-        return L.design(self._complete[0].drop(columns="sid"), **self.coding)
+        """Of all regions; with a response it has their columns, but stand-ins as measure."""
+        return self._study.shared
 
     def case_names(self) -> list[str]:
-        return self._complete[0].sid.tolist()
+        return self._study.sids
 
     def left_out(self) -> list[str]:
-        return self._complete[1]
+        return self._study.left_out
 
     def variable_names(self) -> list[str]:
         return list(self.design.columns)
@@ -64,7 +71,7 @@ class LinearModel:
         return [t for t in self.design.terms if t != "Intercept"]
 
     def formula(self) -> str:
-        return text.wrapped(f"{self.outcome} ~ " + " + ".join(self.labels() or ["1"]))
+        return text.wrapped(f"{self.response or self.outcome} ~ " + " + ".join(self.labels() or ["1"]))
 
     def n_obs(self) -> int:
         return len(self.design.x)
@@ -85,23 +92,23 @@ class LinearModel:
         """The model of some subjects, or of some covariates."""
         c = self.covars if sids is None else self.covars[self.covars.sid.isin(sids)]
         c = c if columns is None else c[["sid", *columns]]
-        return LinearModel(self.y, c, self.contrasts, self.kind, self.alternative, self.alpha, self.names, self.coding, self.outcome)
+        return replace(self, covars=c)
 
     # by region
 
     def _each(self, fn, schema: str) -> DataFrame:
-        """fn(region, fit) -> pandas table, for regions without missing values."""
-        x, sids = self.design.x, self.case_names()
+        """fn(region, fit) -> pandas table, for regions that have a fit."""
+        study = self._study
         columns = [c.split()[0] for c in schema.split(", ")]
 
         def one(cell: pd.DataFrame) -> pd.DataFrame:
-            v = G._vector(cell, sids)
-            return fn(cell.region.iloc[0], L.fit(x, v))[columns] if np.isfinite(v).all() else pd.DataFrame(columns=columns)
+            made = study.of(G._vector(cell, study.sids))
+            return pd.DataFrame(columns=columns) if made is None else fn(cell.region.iloc[0], L.fit(made[0].x, made[1]))[columns]
 
         return self.y.groupBy("region").applyInPandas(one, schema)
 
     def statistics(self) -> DataFrame:
-        return G.glm(self.y, self.covars, self.contrasts, self.kind, self.alternative, self.alpha, self.names, **self.coding)
+        return G.glm(self.y, self.covars, self.contrasts, self.kind, self.alternative, self.alpha, self.names, **self._how)
 
     def coef(self) -> DataFrame:
         return self.coeff_table().select("region", "term", "estimate")
@@ -113,10 +120,10 @@ class LinearModel:
         return self.coeff_table(level).select("region", "term", "ci_low", "ci_high")
 
     def coeff_table(self, level: float = 0.95) -> DataFrame:
-        return G.coefficients(self.y, self.covars, level, **self.coding)
+        return G.coefficients(self.y, self.covars, level, **self._how)
 
     def observations(self) -> DataFrame:
-        return G.observations(self.y, self.covars, **self.coding)
+        return G.observations(self.y, self.covars, **self._how)
 
     def fitted(self) -> DataFrame:
         return self.observations().select("region", "sid", "fitted")
@@ -165,7 +172,7 @@ class LinearModel:
         return self.influence().join(b, ["region", "sid"])
 
     def fit_statistics(self) -> DataFrame:
-        return G.fit_statistics(self.y, self.covars, **self.coding)
+        return G.fit_statistics(self.y, self.covars, **self._how)
 
     def deviance(self) -> DataFrame:
         return self.fit_statistics().select("region", "deviance")
@@ -189,15 +196,21 @@ class LinearModel:
         return self._each(lambda r, f: pd.DataFrame({"region": r, "row": np.repeat(columns, p), "col": columns * p, "value": L.vcov(f)[0].ravel()}), "region string, row string, col string, value double")
 
     def anova(self) -> DataFrame:
-        return G.anova(self.y, self.covars, **self.coding)
+        return G.anova(self.y, self.covars, **self._how)
 
     def vif(self) -> pd.DataFrame:
         """term, gvif, df, gvif_scaled; of the design, so the same for all regions."""
+        if self.response:
+            raise ValueError("each region has its own design: use vif_by_region")
         return L.vif(self.design)
 
+    def vif_by_region(self) -> DataFrame:
+        d = self.design
+        return self._each(lambda r, f: L.vif(replace(d, x=f.x)).assign(region=r), "region string, term string, gvif double, df long, gvif_scaled double")
+
     def permuted(self, n: int = 5000, method: str = "freedmanLane", part: str = "beckmann", seed: int = 0) -> DataFrame:
         """`statistics` with p_perm and the critical value of the largest statistic."""
-        null = G.permutation_null(self.y, self.covars, self.contrasts, self.kind, method, part, n, seed, self.alternative, **self.coding)
+        null = G.permutation_null(self.y, self.covars, self.contrasts, self.kind, method, part, n, seed, self.alternative, **self._how)
         return G.glm_permuted(self.statistics(), null, self.alternative if self.kind == "t" else "greater", self.alpha)
 
     def summary(self, p: str = "p", contrast: str | None = None, alpha: float | None = None, stats: DataFrame | None = None) -> DataFrame:

@@ -834,6 +834,24 @@ def glm_permutation(spark, sf):
     return rounded(G.glm_permuted(G.glm(y, c, [[0, 0, 1]]), null))
 
 
+@query(sql(_MODEL_ROWS | dict(
+    rw="SELECT region, regr_slope(value, b) AS s1, regr_intercept(value, b) AS i1, regr_slope(load, b) AS s2, regr_intercept(load, b) AS i2 FROM mr GROUP BY region",
+    rr="SELECT region, value - i1 - s1 * b AS rx, load - i2 - s2 * b AS ry FROM mr JOIN rw USING (region)",
+    rt="SELECT region, count(*) - 3 AS df, sum(rx * ry) / sum(rx * rx) / sqrt((sum(ry * ry) - pow(sum(rx * ry), 2) / sum(rx * rx)) / (count(*) - 3) / sum(rx * rx)) AS stat FROM rr GROUP BY region",
+), "SELECT region, 'strength' AS contrast, round(stat, 6) AS stat, round(" + Q.t_two_sided("stat", "df") + ", 6) AS p FROM rt"))
+def glm_region_designs(spark, sf):
+    """A month's load explained by each nation's strength and the group: a design by region."""
+    c = T.covars_table(spark, sf, "load", "grp")
+    return rounded(G.glm(T.strengths(spark, sf), c, {"strength": [0, 1, 0]}, outcome="load", measure="strength").select("region", "contrast", "stat", "p"))
+
+
+@query()
+def glm_region_permutation(spark, sf):
+    y, c = T.strengths(spark, sf), T.covars_table(spark, sf, "load", "grp")
+    how = {"outcome": "load", "measure": "strength"}
+    return rounded(G.glm_permuted(G.glm(y, c, [[0, 1, 0]], **how), G.permutation_null(y, c, [[0, 1, 0]], n=1000, **how)))
+
+
 @query()
 def nbs(spark, sf):
     return rounded(G.nbs(T.pairs(spark, sf), T.covars_table(spark, sf, "grp"), [[0, 1]], p_init=0.05, n=50)[0])
