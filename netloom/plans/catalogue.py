@@ -539,7 +539,7 @@ def robustness_targeted(spark, sf):
 
 @query()
 def robustness_random(spark, sf):
-    return rounded(M.robustness(*T.graph(spark, sf), "edge", "random", 50))
+    return rounded(M.robustness(*T.graph(spark, sf), "edge", "random"))
 
 
 def _group_graph(spark, sf):
@@ -553,7 +553,7 @@ def _group_graph(spark, sf):
 
 @query()
 def rewired_graphs(spark, sf):
-    return M.random_graphs(*_group_graph(spark, sf), 5)
+    return M.random_graphs(*_group_graph(spark, sf), 100)
 
 
 @query()
@@ -565,21 +565,21 @@ def clustered_graphs(spark, sf):
 def small_world(spark, sf):
     v, e = _group_graph(spark, sf)
     o = M.wide(M.graph_measures(v, e, ["Cp", "Lp"]), ["Cp", "Lp"], ("gid",))
-    return rounded(R.small_world(o.withColumnsRenamed({"Cp": "cp", "Lp": "lp"}), M.random_measures(v, e, 20)))
+    return rounded(R.small_world(o.withColumnsRenamed({"Cp": "cp", "Lp": "lp"}), M.random_measures(v, e, 100)))
 
 
 @query()
 def rich_club_norm(spark, sf):
     v, e = _group_graph(spark, sf)
-    r = M.random_graphs(v, e, 20).withColumn("gid", F.concat("gid", F.lit("#"), F.col("rand_id").cast("string")))
-    rv = v.crossJoin(spark.range(20)).select(F.concat("gid", F.lit("#"), F.col("id").cast("string")).alias("gid"), "v")
+    r = M.random_graphs(v, e, 100).withColumn("gid", F.concat("gid", F.lit("#"), F.col("rand_id").cast("string")))
+    rv = v.crossJoin(spark.range(100)).select(F.concat("gid", F.lit("#"), F.col("id").cast("string")).alias("gid"), "v")
     rc = R.rich_club(rv, r).select(F.split("gid", "#")[0].alias("gid"), F.split("gid", "#")[1].cast("int").alias("rand_id"), "k", "phi")
     return rounded(R.rich_club_norm(R.rich_club(v, e).select("gid", "k", "phi"), rc))
 
 
 @query()
 def hqs_covariance(spark, sf):
-    return rounded(S.hqs_graphs(T.cohort(spark, sf), 10))
+    return rounded(S.hqs_graphs(T.cohort(spark, sf), 100))
 
 
 # areas, runs, multiple testing
@@ -726,17 +726,17 @@ def residual_qq(spark, sf, y):
 
 @query()
 def permute_groups(spark, sf):
-    return rounded(S.permutation_summary(S.permute_groups(T.cohort(spark, sf), [0.2, 0.3], 50), 50))
+    return rounded(S.permutation_summary(S.permute_groups(T.cohort(spark, sf), [0.2, 0.3], 500), 500))
 
 
 @query()
 def permute_vertex(spark, sf):
-    return rounded(S.permutation_summary(S.permute_groups(T.cohort(spark, sf), [0.2], 50, "vertex", "degree"), 50))
+    return rounded(S.permutation_summary(S.permute_groups(T.cohort(spark, sf), [0.2], 5000, "vertex", "degree"), 5000))
 
 
 @query()
 def boot_global(spark, sf):
-    return rounded(S.bootstrap_summary(S.bootstrap(T.cohort(spark, sf), [0.2, 0.3], "E.global", 50)))
+    return rounded(S.bootstrap_summary(S.bootstrap(T.cohort(spark, sf), [0.2, 0.3], "E.global")))
 
 
 # linear models
@@ -830,7 +830,7 @@ def glm_anova(spark, sf):
 @query()
 def glm_permutation(spark, sf):
     y, c = T.strengths(spark, sf), T.covars_table(spark, sf, "age", "grp")
-    null = G.permutation_null(y, c, [[0, 0, 1]], n=200)
+    null = G.permutation_null(y, c, [[0, 0, 1]])
     return rounded(G.glm_permuted(G.glm(y, c, [[0, 0, 1]]), null))
 
 
@@ -849,12 +849,12 @@ def glm_region_designs(spark, sf):
 def glm_region_permutation(spark, sf):
     y, c = T.strengths(spark, sf), T.covars_table(spark, sf, "load", "grp")
     how = {"outcome": "load", "measure": "strength"}
-    return rounded(G.glm_permuted(G.glm(y, c, [[0, 1, 0]], **how), G.permutation_null(y, c, [[0, 1, 0]], n=1000, **how)))
+    return rounded(G.glm_permuted(G.glm(y, c, [[0, 1, 0]], **how), G.permutation_null(y, c, [[0, 1, 0]], **how)))
 
 
 @query()
 def nbs(spark, sf):
-    return rounded(G.nbs(T.pairs(spark, sf), T.covars_table(spark, sf, "grp"), [[0, 1]], p_init=0.05, n=50)[0])
+    return rounded(G.nbs(T.pairs(spark, sf), T.covars_table(spark, sf, "grp"), [[0, 1]], p_init=0.05)[0])
 
 
 @query(sql(_PAIRS | dict(s="SELECT i, j, avg(w) FILTER (grp = 'B') - avg(w) FILTER (grp = 'A') AS g, (var_samp(w) FILTER (grp = 'A') * (count(*) FILTER (grp = 'A') - 1) + var_samp(w) FILTER (grp = 'B') * (count(*) FILTER (grp = 'B') - 1)) / (count(*) - 2) * (1.0::DOUBLE / count(*) FILTER (grp = 'A') + 1.0::DOUBLE / count(*) FILTER (grp = 'B')) AS v FROM pairs JOIN grps USING (sid) GROUP BY ALL"), "SELECT printf('%06d-%06d', i, j) AS region, round(g / sqrt(v), 6) AS stat FROM s WHERE v > 0"))
@@ -866,14 +866,14 @@ def nbs_edge_statistics(spark, sf):
 @query()
 def mtpc(spark, sf):
     y = _degree_sweep(spark, sf).select(F.col("density").alias("tau"), F.format_string("r%02d", "v").alias("region"), "sid", F.col("degree").cast("double").alias("value"))
-    return rounded(G.mtpc(y, T.covars_table(spark, sf, "grp"), [[0, 1]], n=50)[1])
+    return rounded(G.mtpc(y, T.covars_table(spark, sf, "grp"), [[0, 1]])[1])
 
 
 @query()
 def mediation(spark, sf):
     c = T.covars_table(spark, sf, "grp", "age", "load")
     c["treat"] = (c.pop("grp") == "B").astype(float)
-    return rounded(G.mediation(T.strengths(spark, sf), c, "load", "treat", ("age",), n=100))
+    return rounded(G.mediation(T.strengths(spark, sf), c, "load", "treat", ("age",)))
 
 
 @query(sql(_ANCOVA | dict(zz="SELECT *, 1.0::DOUBLE AS one FROM ce", ld="SELECT strftime(o_orderdate, '%Y-%m') AS sid, count(*)::DOUBLE AS load FROM orders GROUP BY ALL", f1="SELECT v, regr_slope(value, b) AS a FROM ce GROUP BY v", f2="SELECT v, regr_slope(value, b) AS s1, regr_intercept(value, b) AS i1, regr_slope(load, b) AS s2, regr_intercept(load, b) AS i2 FROM ce JOIN ld USING (sid) GROUP BY v", r2="SELECT v, value - i1 - s1 * b AS rm, load - i2 - s2 * b AS ry FROM ce JOIN ld USING (sid) JOIN f2 USING (v)", f3="SELECT v, sum(rm * ry) / sum(rm * rm) AS bb FROM r2 GROUP BY v"), "SELECT 'r' || lpad(v::VARCHAR, 2, '0') AS region, round(a * bb, 6) AS d_avg FROM f1 JOIN f3 USING (v)"))

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver'
 TABLES = "region nation customer supplier part orders lineitem events embeddings"
 #: a graph's measures have no region; no run of thresholds need be critical; equal degrees have no correlation
 MAY_BE_EMPTY: dict[str, set[str]] = {"permute_groups": {"region"}, "mtpc": {"a_mtpc", "a_crit"}, "supplier_network": {"assortativity"}}
-SLOW = {"community_spinglass", "mediation", "mediation_wide", "glm_permutation"}  # these have tests of their own
+SLOW = {"community_spinglass", "mediation", "mediation_wide", "glm_permutation", "glm_region_permutation"}  # these have tests of their own
 
 
 @pytest.fixture(scope="module", autouse=True)
