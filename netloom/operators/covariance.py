@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from netloom.functions import dist
 from netloom.functions import linear as L
 from netloom.operators import kernels as K
 from netloom.operators import measures as M
+from netloom.storage import staged
 
 
 def residuals(y: DataFrame, covars: pd.DataFrame, by_group: bool = False, hemi_mean: bool = False, **coding) -> DataFrame:
@@ -76,6 +78,60 @@ def _rows(y: DataFrame) -> DataFrame:
     return y.groupBy("grp", "sid").agg(F.array_sort(F.collect_list(F.struct("region", "value"))).alias("x"))
 
 
+def _atlas(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The regions of subjects' rows, in order, and their means: an atlas."""
+    at = rows.select(F.explode("x").alias("p")).groupBy("p.region").agg(F.avg(F.nanvl("p.value", F.lit(None).cast("double"))).alias("mean")).toPandas().sort_values("region")
+    return at.region.tolist(), at["mean"].fillna(0).to_numpy(float)
+
+
+def _subjects(batch: pa.RecordBatch, at: dict[str, int], cells: int = 2**17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers, region numbers and values (rows x regions, NULL: NaN) of an Arrow batch of
+    subjects' rows, by those that list the same regions, at most `cells` pairs at once."""
+    lists = batch.column(batch.schema.get_field_index("x"))
+    size = np.asarray(lists.value_lengths())
+    flat = lists.flatten()
+    code = flat.field("region").dictionary_encode()
+    region = np.array([at[r] for r in code.dictionary.to_pylist()], int)[np.asarray(code.indices)]
+    value = flat.field("value").to_numpy(zero_copy_only=False).astype(float)
+    start = np.cumsum(size) - size
+    alike: dict[bytes, list[int]] = {}
+    for k, (b, n) in enumerate(zip(start, size)):
+        alike.setdefault(region[b : b + n].tobytes(), []).append(k)
+    for key, rows in alike.items():
+        idx = np.frombuffer(key, int)
+        step = max(1, cells // len(idx) ** 2)
+        for k in range(0, len(rows), step):
+            part = np.array(rows[k : k + step])
+            yield part, idx, value[start[part][:, None] + np.arange(len(idx))]
+
+
+def moments(rows: DataFrame, regions: list[str], centre: np.ndarray | None = None) -> dict[str | None, np.ndarray]:
+    """By group: n, sums, sums of squares of the row's region and sums of products, regions x
+    regions, over the subjects that have both; values less `centre`. A task adds its subjects'
+    rows up to one matrix, so the driver gets an atlas squared for each group."""
+    at, size = {r: k for k, r in enumerate(regions)}, len(regions)
+    centre = np.zeros(size) if centre is None else centre
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for b in batches:
+            groups = np.array(b.column(b.schema.get_field_index("grp")).to_pylist(), object)
+            for part, idx, x in _subjects(b, at, 2**20):
+                x = np.nan_to_num(x - centre[idx])
+                spread = np.eye(size)[idx]
+                for g in set(groups[part]):
+                    mine = x[[h == g for h in groups[part]]]
+                    c, s = np.ones_like(mine) @ spread, mine @ spread
+                    total[g] = total.get(g, 0) + np.stack([c.T @ c, s.T @ c, (mine**2 @ spread).T @ c, s.T @ s])
+        i, j = np.divmod(np.arange(size * size), size)
+        for g, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g] * len(i), pa.string()), *(pa.array(v) for v in (i, j, *t.reshape(4, -1)))], ["grp", "i", "j", "n", "sx", "sxx", "sxy"])
+
+    parts = rows.select("grp", "x").mapInArrow(run, "grp string, i long, j long, n double, sx double, sxx double, sxy double")
+    out = parts.groupBy("grp", "i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy"))).toPandas().sort_values(["i", "j"])
+    return {None if pd.isna(g) else g: t[["n", "sx", "sxx", "sxy"]].to_numpy().T.reshape(4, size, size) for g, t in out.groupby("grp", dropna=False)}
+
+
 def pair_sums(y: DataFrame) -> DataFrame:
     """grp, r1 < r2 and the sums of a correlation. A subject's pairs come from its own row
     (an atlas has some hundreds of regions) and are summed before they are shuffled."""
@@ -309,9 +365,10 @@ def bootstrap_summary(draws: DataFrame, level: float = 0.95) -> DataFrame:
 
 def hqs_graphs(y: DataFrame, n: int = 100, density: float = 0.2, seed: int = 0) -> DataFrame:
     """grp, rand_id, cp, lp of random covariance networks with the group's moments."""
-    groups, _, _, x = table(y)
-    spark = y.sparkSession
-    covs = {g: np.cov(x[np.array(groups) == g], rowvar=False) for g in sorted(set(groups))}
+    spark, rows = y.sparkSession, staged(_rows(y))
+    sums = moments(rows, *_atlas(rows))
+    with np.errstate(all="ignore"):
+        covs = {g: (sums[g][3] - sums[g][1] * sums[g][1].T / sums[g][0]) / (sums[g][0] - 1) for g in sorted(sums)}
     shared = spark.sparkContext.broadcast(covs)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
