@@ -78,10 +78,11 @@ def _rows(y: DataFrame) -> DataFrame:
     return y.groupBy("grp", "sid").agg(F.array_sort(F.collect_list(F.struct("region", "value"))).alias("x"))
 
 
-def _atlas(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The regions of subjects' rows, in order, and their means: an atlas."""
-    at = rows.select(F.explode("x").alias("p")).groupBy("p.region").agg(F.avg(F.nanvl("p.value", F.lit(None).cast("double"))).alias("mean")).toPandas().sort_values("region")
-    return at.region.tolist(), at["mean"].fillna(0).to_numpy(float)
+def _atlas(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The regions of subjects' rows, in order, their means and numbers of undefined values."""
+    value = F.nanvl("p.value", F.lit(None).cast("double"))
+    at = rows.select(F.explode("x").alias("p")).groupBy("p.region").agg(F.avg(value).alias("mean"), F.sum(value.isNull().cast("int")).alias("undefined")).toPandas().sort_values("region")
+    return at.region.tolist(), at["mean"].fillna(0).to_numpy(float), at["undefined"].to_numpy(float)
 
 
 def _subjects(batch: pa.RecordBatch, at: dict[str, int], cells: int = 2**17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -242,13 +243,113 @@ def global_summary(contrib: DataFrame) -> DataFrame:
     return contrib.groupBy("grp").agg(*(F.element_at(q, i + 1).alias(f"q{int(100 * x)}") for i, x in enumerate((0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0))), F.avg("ic").alias("mean"))
 
 
-# Resampling. A study's residuals (subjects by regions) go to every task; draws are rows.
+# Resampling. Subjects are numbered in order of group and sid and lie in blocks; a draw is a
+# weight for each of them, and its correlations come from weighted sums over the blocks. Draws are
+# rows, and no task and no driver holds all subjects' values.
 
+BLOCK = 32768
 
-def table(y: DataFrame) -> tuple[list[str], list[str], list[str], np.ndarray]:
-    """groups and sids of the rows, regions, values (subjects x regions: an atlas's table)."""
-    rows = _rows(y).orderBy("grp", "sid").collect()
-    return [r["grp"] for r in rows], [r["sid"] for r in rows], [x["region"] for x in rows[0]["x"]], np.array([[x["value"] for x in r["x"]] for r in rows], float)
+
+def drawn(y: DataFrame, n: int, first: int, weigh: Callable, chunk: int, measure: Callable, schema: str) -> DataFrame:
+    """measure(draw, moments of the draw's parts, moments of all, regions, groups) -> tuples, for
+    the draws `first` to n - 1. weigh(draw, sizes of the groups) -> (number of the first subject,
+    weights as bytes) of each part. Moments: see `_correlated`."""
+    spark, blocks = y.sparkSession, BLOCK
+    rows = staged(_rows(y).sort("grp", "sid").withColumn("at", F.monotonically_increasing_id()))
+    regions, centre, undefined = _atlas(rows)
+    at, size = {r: k for k, r in enumerate(regions)}, len(regions)
+    counts = rows.groupBy(F.shiftright("at", 33).alias("part"), "grp").count().orderBy("part").collect()  # a row a task and group
+    groups: dict = {}
+    offset: dict[int, int] = {}
+    for r in counts:
+        offset.setdefault(r["part"], sum(groups.values()))
+        groups[r["grp"]] = groups.get(r["grp"], 0) + r["count"]
+    total, names = sum(groups.values()), sorted(groups)
+    sizes = [groups[g] for g in names]
+    if not total:
+        raise ValueError("no subjects")
+    weigh(first, sizes)  # so that its errors come here
+    low, high = np.triu_indices(size)
+    width = len(low) + 2 * size + 1
+    several = int(min(max(2**20 // width, 8), 500))  # draws that share a pass over a block
+    sums = sum(moments(rows, regions, centre).values())
+    whole = np.concatenate([sums[3][low, high], np.diag(sums[1]), undefined, [total]])
+    shared = spark.sparkContext.broadcast((offset, at, centre, whole))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of the blocks of subjects: which of the block's rows, and their values."""
+        offset, at, *_ = shared.value
+        for b in batches:
+            mono = b.column(b.schema.get_field_index("at")).to_numpy()
+            number = (mono & (2**33 - 1)) + np.array([offset[k] for k in (mono >> 33).tolist()], np.int64)
+            out = []
+            for part, idx, x in _subjects(b, at, 2**22):
+                if not np.array_equal(idx, np.arange(size)):
+                    raise ValueError("every subject has one value of every region")
+                of = number[part] // blocks
+                out += [(k, number[part][of == k].tobytes(), x[of == k].tobytes()) for k in np.unique(of).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary()))], ["block", "rows", "x"])
+
+    def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each draw's weights, cut at the blocks; weights of 0 and 1 as bits."""
+        for b in batches:
+            for draw in b.column(0).to_pylist():
+                out = []
+                for part, (start, w) in enumerate(weigh(draw, sizes)):
+                    for k in range(start // blocks, (start + len(w) - 1) // blocks + 1):
+                        begin, end = max(start, k * blocks), min(start + len(w), (k + 1) * blocks)
+                        piece = w[begin - start : end - start]
+                        bits = piece.max(initial=0) < 2
+                        out.append((k, (draw - first) // several, draw, part, begin, end, bool(bits), (np.packbits(piece) if bits else piece).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (*[pa.int64()] * 6, pa.bool_(), pa.binary()))], ["block", "chunk", "draw", "part", "begin", "end", "bits", "w"])
+
+    def summed(key: tuple, w: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        """Weighted moments of a block's subjects for some draws."""
+        start = int(key[0]) * blocks
+        x = np.zeros((min(blocks, total - start), size))
+        for r, v in zip(pieces.rows, pieces.x):
+            x[np.frombuffer(r, np.int64) - start] = np.frombuffer(v).reshape(-1, size)
+        x -= shared.value[2]
+        w = w.sort_values(["draw", "part"])
+        weights = np.zeros((len(w), len(x)), np.uint8)
+        for k, (begin, end, bits, v) in enumerate(zip(w.begin, w.end, w.bits, w.w)):
+            v = np.frombuffer(v, np.uint8)
+            weights[k, begin - start : end - start] = np.unpackbits(v, count=end - begin) if bits else v
+        out = np.zeros((len(w), width))
+        step = max(8, 2**20 // width)
+        for k in range(0, len(x), step):
+            v = x[k : k + step]
+            bad = np.isnan(v)
+            v = np.where(bad, 0, v)
+            out += weights[:, k : k + step].astype(float) @ np.column_stack([v[:, low] * v[:, high], v, bad, np.ones(len(v))])
+        return pd.DataFrame({"draw": w.draw, "part": w.part, "block": key[0], "m": [m.tobytes() for m in out]})
+
+    def measured(key: tuple, m: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values(["part", "block"])
+        parts = [np.sum([np.frombuffer(v) for v in p], 0) for _, p in m.groupby("part").m]
+        return pd.DataFrame(measure(int(key[0]), parts, shared.value[3], regions, names), columns=[c.split()[0] for c in schema.split(", ")])
+
+    tasks = max(1, min(400, (total // blocks + 1) * ((n - first) // several + 1)))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((n - first - 1) // several))).alias("chunk")
+    x = rows.select("at", "x").mapInArrow(dealt, "block long, rows binary, x binary").select("*", chunks).withColumn("chunk", F.col("chunk").cast("long")).repartition(tasks, "block", "chunk")
+    draws = spark.range(first, n, 1, max(1, -(-(n - first) // chunk)))
+    w = draws.mapInArrow(cast, "block long, chunk long, draw long, part long, begin long, end long, bits boolean, w binary").repartition(tasks, "block", "chunk")
+    some = w.groupBy("block", "chunk").cogroup(x.groupBy("block", "chunk")).applyInPandas(summed, "draw long, part long, block long, m binary")
+    return some.repartition(max(1, -(-(n - first) // chunk)), "draw").groupBy("draw").applyInPandas(measured, schema)
+
+
+def _correlated(m: np.ndarray, size: int) -> np.ndarray:
+    """Correlations from a vector of moments: sums of products (upper triangle), sums, numbers of
+    undefined values, n."""
+    k = size * (size + 1) // 2
+    q, s, bad, n = np.zeros((size, size)), m[k : k + size], m[k + size : k + 2 * size], m[-1]
+    q[np.triu_indices(size)] = m[:k]
+    q += np.triu(q, 1).T
+    with np.errstate(all="ignore"):
+        c = (q - np.outer(s, s) / n) / (n - 1)
+        v = np.where((bad > 0.5) | (np.diag(c) <= 1e-13 * np.diag(q)), np.nan, np.diag(c))
+        r = np.clip(c / np.sqrt(v)[:, None] / np.sqrt(v), -1, 1)
+    return mirrored(r)
 
 
 def mirrored(r: np.ndarray) -> np.ndarray:
@@ -260,7 +361,10 @@ def mirrored(r: np.ndarray) -> np.ndarray:
 
 def density_graphs(x: np.ndarray, densities, weighted: bool = False) -> list[np.ndarray]:
     """Correlation graphs of subjects x regions at each density."""
-    r = mirrored(np.corrcoef(x, rowvar=False))
+    return cut_graphs(mirrored(np.corrcoef(x, rowvar=False)), densities, weighted)
+
+
+def cut_graphs(r: np.ndarray, densities, weighted: bool = False) -> list[np.ndarray]:
     n = len(r)
     lower = np.sort(r[np.tril_indices(n, -1)])
     out = []
@@ -278,34 +382,29 @@ def permute_groups(y: DataFrame, densities, n: int = 5000, level: str = "graph",
     """perm_id, density, region (vertex level), measure, diff = first group - second group of
     networks whose subjects' group labels are permuted; perm_id = n is the observed split.
     function(list of graphs of group 1, of group 2) -> one number a density, for level other."""
-    groups, _, regions, x = table(y)
-    names = sorted(set(groups))
-    if len(names) != 2:
-        raise ValueError("two groups")
-    spark = y.sparkSession
-    first = np.array([g == names[0] for g in groups])
     densities = [float(d) for d in densities]
-    shared = spark.sparkContext.broadcast((x, first, densities, regions))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, first, densities, regions = shared.value
-        for b in batches:
-            out = []
-            for p in b.id.tolist():
-                mark = first if p == n else first[np.random.default_rng([seed, p]).permutation(len(first))]
-                one, two = density_graphs(x[mark], densities), density_graphs(x[~mark], densities)
-                if level == "other":
-                    out += [(p, d, None, "other", M._clean(v)) for d, v in zip(densities, function(one, two))]
-                    continue
-                for d, a, c in zip(densities, one, two):
-                    ga, gc = M.Graph(a), M.Graph(c)
-                    if level == "graph":
-                        out += [(p, d, None, m, M._clean(M.GRAPH[m](ga) - M.GRAPH[m](gc))) for m in PERMUTED_GRAPH]
-                    else:
-                        out += [(p, d, r, measure, M._clean(v)) for r, v in zip(regions, M.VERTEX[measure](ga) - M.VERTEX[measure](gc))]
-            yield pd.DataFrame(out, columns=["perm_id", "density", "region", "measure", "diff"])
-
-    return spark.range(0, n + 1, 1, max(1, -(-(n + 1) // chunk))).mapInPandas(run, "perm_id long, density double, region string, measure string, diff double")
+    def weigh(p: int, sizes: list[int]) -> list[tuple[int, np.ndarray]]:
+        if len(sizes) != 2:
+            raise ValueError("two groups")
+        total = sum(sizes)
+        order = np.arange(total) if p == n else np.random.default_rng([seed, p]).permutation(total)
+        return [(0, (order < sizes[0]).view(np.uint8))]
+
+    def measured(p: int, parts: list[np.ndarray], whole: np.ndarray, regions: list[str], _) -> list[tuple]:
+        one, two = (cut_graphs(_correlated(m, len(regions)), densities) for m in (parts[0], whole - parts[0]))
+        if level == "other":
+            return [(p, d, None, "other", M._clean(v)) for d, v in zip(densities, function(one, two))]
+        out = []
+        for d, a, c in zip(densities, one, two):
+            ga, gc = M.Graph(a), M.Graph(c)
+            if level == "graph":
+                out += [(p, d, None, m, M._clean(M.GRAPH[m](ga) - M.GRAPH[m](gc))) for m in PERMUTED_GRAPH]
+            else:
+                out += [(p, d, r, measure, M._clean(v)) for r, v in zip(regions, M.VERTEX[measure](ga) - M.VERTEX[measure](gc))]
+        return out
+
+    return drawn(y, n + 1, 0, weigh, chunk, measured, "perm_id long, density double, region string, measure string, diff double")
 
 
 def permutation_summary(diffs: DataFrame, n: int, alternative: str = "two.sided", alpha: float = 0.05, keys: tuple[str, ...] = ("measure", "density", "region")) -> DataFrame:
@@ -333,25 +432,23 @@ def bootstrap(y: DataFrame, densities, measure: str = "E.global", n: int = 1000,
     """grp, density, rep_id (-1: the sample itself), value, resampling subjects in groups."""
     if measure not in BOOT:
         raise ValueError(f"measure is one of {BOOT}")
-    groups, _, _, x = table(y)
-    spark = y.sparkSession
-    groups, densities = np.array(groups), [float(d) for d in densities]
-    shared = spark.sparkContext.broadcast((x, groups, densities))
+    densities = [float(d) for d in densities]
     weighted = measure.endswith(".wt") or measure == "strength"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, groups, densities = shared.value
-        for b in batches:
-            out = []
-            for r in b.id.tolist():
-                for k, g in enumerate(sorted(set(groups))):
-                    rows = np.flatnonzero(groups == g)
-                    if r >= 0:
-                        rows = rows[np.random.default_rng([seed, r, k]).integers(0, len(rows), len(rows))]
-                    out += [(g, d, r, M._clean(M.GRAPH[measure](M.Graph(w)))) for d, w in zip(densities, density_graphs(x[rows], densities, weighted))]
-            yield pd.DataFrame(out, columns=["grp", "density", "rep_id", "value"])
+    def weigh(r: int, sizes: list[int]) -> list[tuple[int, np.ndarray]]:
+        start, out = 0, []
+        for k, size in enumerate(sizes):
+            times = np.ones(size, int) if r < 0 else np.bincount(np.random.default_rng([seed, r, k]).integers(0, size, size), minlength=size)
+            if times.max() > 255:
+                raise ValueError("a subject drawn over 255 times")
+            out.append((start, times.astype(np.uint8)))
+            start += size
+        return out
+
+    def measured(r: int, parts: list[np.ndarray], _, regions: list[str], names: list) -> list[tuple]:
+        return [(g, d, r, M._clean(M.GRAPH[measure](M.Graph(w)))) for g, m in zip(names, parts) for d, w in zip(densities, cut_graphs(_correlated(m, len(regions)), densities, weighted))]
 
-    return spark.range(-1, n, 1, max(1, -(-(n + 1) // chunk))).mapInPandas(run, "grp string, density double, rep_id long, value double")
+    return drawn(y, n, -1, weigh, chunk, measured, "grp string, density double, rep_id long, value double")
 
 
 def bootstrap_summary(draws: DataFrame, level: float = 0.95) -> DataFrame:
@@ -366,7 +463,7 @@ def bootstrap_summary(draws: DataFrame, level: float = 0.95) -> DataFrame:
 def hqs_graphs(y: DataFrame, n: int = 100, density: float = 0.2, seed: int = 0) -> DataFrame:
     """grp, rand_id, cp, lp of random covariance networks with the group's moments."""
     spark, rows = y.sparkSession, staged(_rows(y))
-    sums = moments(rows, *_atlas(rows))
+    sums = moments(rows, *_atlas(rows)[:2])
     with np.errstate(all="ignore"):
         covs = {g: (sums[g][3] - sums[g][1] * sums[g][1].T / sums[g][0]) / (sums[g][0] - 1) for g in sorted(sums)}
     shared = spark.sparkContext.broadcast(covs)

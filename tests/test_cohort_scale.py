@@ -46,3 +46,27 @@ def test_hqs_of_many(many, values, collected):
             low = np.sort(m[np.tril_indices(5, -1)])
             a = ((m > low[int(len(low) - 0.4 * len(low)) - 1]) & ~np.eye(5, dtype=bool)).astype(float)
             assert got[(g, r)] == M._clean(M.GRAPH["Cp"](M.Graph(a)))
+
+
+def differences(x, mark, densities):
+    one, two = S.density_graphs(x[mark], densities), S.density_graphs(x[~mark], densities)
+    return {d: (M.Graph(a), M.Graph(b)) for d, a, b in zip(densities, one, two)}
+
+
+def test_permuted_groups_of_many(many, values, collected, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 64)
+    draws = S.permute_groups(many, [0.4, 0.6], 12)
+    assert max(collected) < 100
+    groups, x = values
+    got = {(r["perm_id"], r["density"], r["measure"]): r["diff"] for r in draws.collect()}
+    assert len(got) == 13 * 2 * len(M.GRAPH.keys() & set(S.PERMUTED_GRAPH))
+    for p in range(13):
+        mark = groups == "A" if p == 12 else (groups == "A")[np.random.default_rng([0, p]).permutation(N)]
+        for d, (a, b) in differences(x, mark, [0.4, 0.6]).items():
+            assert got[(p, d, "Cp")] == M._clean(M.GRAPH["Cp"](a) - M.GRAPH["Cp"](b))
+            assert got[(p, d, "mod")] == M._clean(M.GRAPH["mod"](a) - M.GRAPH["mod"](b))
+
+
+def test_needs_two_groups(many):
+    with pytest.raises(ValueError, match="two groups"):
+        S.permute_groups(many.where("grp = 'A'"), [0.5], 3)
