@@ -70,3 +70,14 @@ def test_permuted_groups_of_many(many, values, collected, monkeypatch):
 def test_needs_two_groups(many):
     with pytest.raises(ValueError, match="two groups"):
         S.permute_groups(many.where("grp = 'A'"), [0.5], 3)
+
+
+def test_permuted_vertices_of_many(many, values, collected, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 64)
+    draws = S.permute_groups(many, [0.5], 5, "vertex", "degree")
+    assert max(collected) < 100
+    groups, x = values
+    got = {(r["perm_id"], r["region"]): r["diff"] for r in draws.collect()}
+    for p in range(5):
+        a, b = differences(x, (groups == "A")[np.random.default_rng([0, p]).permutation(N)], [0.5])[0.5]
+        assert [got[(p, r)] for r in REGIONS] == (M.VERTEX["degree"](a) - M.VERTEX["degree"](b)).tolist()
