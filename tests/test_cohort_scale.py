@@ -81,3 +81,17 @@ def test_permuted_vertices_of_many(many, values, collected, monkeypatch):
     for p in range(5):
         a, b = differences(x, (groups == "A")[np.random.default_rng([0, p]).permutation(N)], [0.5])[0.5]
         assert [got[(p, r)] for r in REGIONS] == (M.VERTEX["degree"](a) - M.VERTEX["degree"](b)).tolist()
+
+
+def test_bootstrap_of_many(many, values, collected, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 64)
+    draws = S.bootstrap(many, [0.5], "strength", 8)
+    assert max(collected) < 100
+    groups, x = values
+    got = {(r["grp"], r["rep_id"]): r["value"] for r in draws.collect()}
+    assert len(got) == 18
+    for k, g in enumerate("AB"):
+        rows = np.flatnonzero(groups == g)
+        for r in range(-1, 8):
+            at = rows if r < 0 else rows[np.random.default_rng([0, r, k]).integers(0, len(rows), len(rows))]
+            assert got[(g, r)] == pytest.approx(S.density_graphs(x[at], [0.5], True)[0].sum(1).mean())
