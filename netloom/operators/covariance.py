@@ -196,7 +196,7 @@ def loo_pairs(y: DataFrame) -> DataFrame:
     p = pair_sums(y)
     a, b = F.col("a"), F.col("b")
     sums = [F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")]
-    rows = p.join(p.groupBy("grp", "r1", "r2").agg(*sums), ["grp", "r1", "r2"])  # a row a pair: broadcast where it is small, and no window over all subjects
+    rows = p.join(staged(p.groupBy("grp", "r1", "r2").agg(*sums)), ["grp", "r1", "r2"])  # an atlas squared: written, so that it is known to be small before all subjects' pairs are shuffled
     full = _r(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
     less = _r(F.col("n") - 1, F.col("sx") - a, F.col("sy") - b, F.col("sxx") - a * a, F.col("syy") - b * b, F.col("sxy") - a * b)
     return rows.select("grp", "sid", "r1", "r2", full.alias("r"), less.alias("r_other"))
@@ -207,13 +207,100 @@ def aop_pairs(y: DataFrame, control: str) -> DataFrame:
     p = pair_sums(y)
     a, b = F.col("a"), F.col("b")
     sums = [F.count("*").alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy")]
-    base = p.where(F.col("grp") == control).groupBy("r1", "r2").agg(*sums)
+    base = staged(p.where(F.col("grp") == control).groupBy("r1", "r2").agg(*sums))  # as above
     rows = p.where(F.col("grp") != control).join(base, ["r1", "r2"])
     full = _r(*(F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")))
     more = _r(F.col("n") + 1, F.col("sx") + a, F.col("sy") + b, F.col("sxx") + a * a, F.col("syy") + b * b, F.col("sxy") + a * b)
     return rows.select("grp", "sid", "r1", "r2", full.alias("r"), more.alias("r_other"))
 
 
+def _changes(y: DataFrame, control: str | None, per: Callable, schema: str) -> DataFrame:
+    """per(r, r_other, regions' numbers, names) -> (subjects, columns), over batches of subjects:
+    correlations of all pairs (NaN: undefined) without each subject, or of `control` with each
+    subject of another group. One pass adds up the moments, one compares; only whole subjects
+    are shuffled, once, and no row is made for a pair."""
+    rows = staged(_rows(y))
+    regions, *_ = _atlas(rows)
+    sums = moments(rows, regions)
+    if control is not None:
+        rows = rows.where(F.col("grp") != control)
+        sums = {None: sums[control]} if control in sums else {}
+    at = {r: k for k, r in enumerate(regions)}
+    shared = y.sparkSession.sparkContext.broadcast(sums)
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [{"string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = shared.value
+        for b in batches:
+            groups, sids = (np.array(b.column(b.schema.get_field_index(c)).to_pylist(), object) for c in ("grp", "sid"))
+            for part, idx, x in _subjects(b, at):
+                for g in set(groups[part]):
+                    m = sums.get(g if control is None else None)
+                    if m is None:
+                        continue
+                    mine = part[[h == g for h in groups[part]]]
+                    which, columns = per(*_correlations_with(m, idx, x[np.isin(part, mine)], -1 if control is None else 1), idx, regions)
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(which), pa.string()), pa.array(sids[mine][which], pa.string()), *(pa.array(c, t, from_pandas=True) for c, t in zip(columns, types[2:]))], names)
+
+    return rows.select("grp", "sid", "x").mapInArrow(run, schema)
+
+
+def _correlations_with(m: np.ndarray, idx: np.ndarray, x: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    """r of the moments, and of the moments with each row of `x` added (1) or taken away (-1):
+    rows x pairs. Pairs of a region with itself are NaN."""
+    n, sx, sxx, sxy = (t[np.ix_(idx, idx)] for t in m)
+
+    def r(n, sx, sxx, sxy):
+        with np.errstate(all="ignore"):
+            vx = sxx - sx * sx / n
+            vy, sy = np.swapaxes(vx, -1, -2), np.swapaxes(sx, -1, -2)
+            return np.where((vx > 1e-12) & (vy > 1e-12) & (idx[:, None] != idx), np.clip((sxy - sx * sy / n) / np.sqrt(np.abs(vx * vy)), -1, 1), np.nan)
+
+    a = np.broadcast_to(x[:, :, None], (*x.shape, len(idx)))
+    return r(n, sx, sxx, sxy), r(n + sign, sx + sign * a, sxx + sign * a * a, sxy + sign * a * np.swapaxes(a, 1, 2))
+
+
+def _by_region(r, other, idx, names):
+    """sid's row, region, summed |change| (NULL where no change is defined)"""
+    d = np.abs(r - other)
+    spread = (np.arange(len(names)) == idx[:, None]).astype(float)
+    at = np.unique(idx)
+    at = at if len(at) > 1 else at[:0]
+    rc, known = (v @ spread[:, at] for v in (np.nansum(d, 2), (~np.isnan(d)).sum(2)))
+    return np.repeat(np.arange(len(other)), len(at)), (np.tile(np.array(names, object)[at], len(other)), np.where(known > 0, rc, np.nan).ravel())
+
+
+def _overall(r, other, idx, _):
+    """sid's row, 1 - the correlation of r and other over the defined pairs"""
+    first = idx[:, None] < idx
+    x, y = np.broadcast_to(r[first], (len(other), first.sum())), other[:, first]
+    ok = ~np.isnan(x) & ~np.isnan(y)
+    n, x, y = ok.sum(1), np.where(ok, x, 0), np.where(ok, y, 0)
+    with np.errstate(all="ignore"):
+        mx, my = x.sum(1) / n, y.sum(1) / n
+        x, y = np.where(ok, x - mx[:, None], 0), np.where(ok, y - my[:, None], 0)
+        vx, vy = (x * x).sum(1), (y * y).sum(1)
+        ic = np.where((vx > 1e-12) & (vy > 1e-12), 1 - np.clip((x * y).sum(1) / np.sqrt(vx * vy), -1, 1), np.nan)
+    some = np.flatnonzero(n > 0)
+    return some, (ic[some],)
+
+
+def loo_regional(y: DataFrame) -> DataFrame:
+    """As contribution_regional(loo_pairs(y)), without a row a pair."""
+    return _changes(y, None, _by_region, "grp string, sid string, region string, rc double")
+
+
+def loo_global(y: DataFrame) -> DataFrame:
+    """As contribution_global(loo_pairs(y)), without a row a pair."""
+    return _changes(y, None, _overall, "grp string, sid string, ic double")
+
+
+def aop_regional(y: DataFrame, control: str) -> DataFrame:
+    """As contribution_regional(aop_pairs(y, control)), without a row a pair."""
+    return _changes(y, control, _by_region, "grp string, sid string, region string, rc double")
+
+
 def contribution_regional(pairs: DataFrame) -> DataFrame:
     """grp, sid, region, rc: summed |change| of the region's correlations."""
     d = F.abs(F.col("r") - F.col("r_other"))

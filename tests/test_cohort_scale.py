@@ -95,3 +95,19 @@ def test_bootstrap_of_many(many, values, collected, monkeypatch):
         for r in range(-1, 8):
             at = rows if r < 0 else rows[np.random.default_rng([0, r, k]).integers(0, len(rows), len(rows))]
             assert got[(g, r)] == pytest.approx(S.density_graphs(x[at], [0.5], True)[0].sum(1).mean())
+
+
+def test_contributions_without_a_row_a_pair(spark, many):
+    from pyspark.sql import functions as F
+
+    odd = many.where("not (sid = 's003' and region = 'rb') and not (sid = 's190' and region > 'ra')").withColumn("value", F.when(F.expr("not (sid = 's005' and region = 'rc')"), F.col("value")))
+    for new, old in ((S.loo_regional(odd), S.contribution_regional(S.loo_pairs(odd))), (S.aop_regional(odd, "A"), S.contribution_regional(S.aop_pairs(odd, "A"))), (S.loo_global(odd), S.contribution_global(S.loo_pairs(odd)))):
+        a, b = ({tuple(r)[:-1]: r[-1] for r in df.collect()} for df in (new, old))
+        assert a.keys() == b.keys() and len(a) >= 119
+        assert all((x is None) == (b[k] is None) and (x is None or x == pytest.approx(b[k], abs=1e-9)) for k, x in a.items())
+
+
+def test_pairs_are_not_shuffled(many):
+    for pairs in (S.loo_pairs(many), S.aop_pairs(many, "A")):
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
