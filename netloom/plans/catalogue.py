@@ -674,12 +674,12 @@ _LOO = _corr_sql() | dict(
 
 @cohort_query(sql(_LOO | dict(e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM lo UNION ALL SELECT grp, sid, r2, abs(r - q) FROM lo"), "SELECT grp, sid, region, round(sum(d), 6) AS rc FROM e GROUP BY ALL"))
 def loo_regional(spark, sf, y):
-    return rounded(S.contribution_regional(S.loo_pairs(y)))
+    return rounded(S.loo_regional(y))
 
 
 @cohort_query(sql(_LOO, "SELECT grp, sid, round(1 - corr(r, q), 6) AS ic FROM lo GROUP BY ALL"))
 def loo_global(spark, sf, y):
-    return rounded(S.contribution_global(S.loo_pairs(y)))
+    return rounded(S.loo_global(y))
 
 
 @cohort_query(sql(_corr_sql() | dict(b0="SELECT r1, r2, count(*) AS n, sum(a) AS sx, sum(b) AS sy, sum(a * a) AS sxx, sum(b * b) AS syy, sum(a * b) AS sxy FROM pp WHERE grp = '0' GROUP BY ALL", ao="SELECT pp.grp, sid, pp.r1, pp.r2, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r, (sxy + a * b - (sx + a) * (sy + b) / (n + 1)) / sqrt((sxx + a * a - (sx + a) * (sx + a) / (n + 1)) * (syy + b * b - (sy + b) * (sy + b) / (n + 1))) AS q FROM pp JOIN b0 USING (r1, r2) WHERE grp = '1'", e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM ao UNION ALL SELECT grp, sid, r2, abs(r - q) FROM ao"), "SELECT grp, sid, region, round(sum(d), 6) AS rc FROM e GROUP BY ALL"))
@@ -689,12 +689,12 @@ def aop_regional(spark, sf, y):
 
 @cohort_query(sql(_LOO | dict(e="SELECT grp, sid, r1 AS region, abs(r - q) AS d FROM lo UNION ALL SELECT grp, sid, r2, abs(r - q) FROM lo", rc="SELECT grp, sid, region, sum(d) AS rc FROM e GROUP BY ALL", ct="SELECT *, avg(rc) OVER (PARTITION BY grp, region) + 2 * stddev_samp(rc) OVER (PARTITION BY grp, region) AS cut FROM rc"), "SELECT grp, region, round(min(rc), 6) AS min, round(median(rc), 6) AS median, round(avg(rc), 6) AS mean, round(max(rc), 6) AS max, round(stddev_samp(rc), 6) AS sd, round(stddev_samp(rc) / sqrt(count(*)), 6) AS se, sum((rc > cut)::INT)::BIGINT AS outliers FROM ct GROUP BY grp, region"))
 def ic_summary(spark, sf, y):
-    return rounded(S.contribution_summary(S.contribution_regional(S.loo_pairs(y))))
+    return rounded(S.contribution_summary(S.loo_regional(y)))
 
 
 @query(sql(_LOO | dict(gl="SELECT grp, sid, 1 - corr(r, q) AS ic FROM lo GROUP BY ALL"), "SELECT grp, " + ", ".join(f"round(quantile_cont(ic, {x}::DOUBLE), 6) AS q{int(100 * x)}" for x in (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)) + ", round(avg(ic), 6) AS mean FROM gl GROUP BY grp"))
 def ic_global_summary(spark, sf):
-    return rounded(S.global_summary(S.contribution_global(S.loo_pairs(T.cohort(spark, sf)))))
+    return rounded(S.global_summary(S.loo_global(T.cohort(spark, sf))))
 
 
 def _cohort_covars(spark, sf):
