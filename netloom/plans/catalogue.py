@@ -726,7 +726,7 @@ def residual_qq(spark, sf, y):
 
 @query()
 def permute_groups(spark, sf):
-    return rounded(S.permutation_summary(S.permute_groups(T.cohort(spark, sf), [0.2, 0.3], 500), 500))
+    return rounded(S.permutation_summary(S.permute_groups(T.cohort(spark, sf), [0.2, 0.3]), 5000))
 
 
 @query()

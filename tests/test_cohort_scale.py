@@ -111,3 +111,18 @@ def test_pairs_are_not_shuffled(many):
     for pairs in (S.loo_pairs(many), S.aop_pairs(many, "A")):
         plan = pairs._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_all_permutations_are_made(monkeypatch):
+    """The catalogue's query takes the operator's default number, and its summary the same."""
+    import inspect
+
+    from netloom.plans import catalogue as C
+
+    default, seen = inspect.signature(S.permute_groups).parameters["n"].default, []
+    monkeypatch.setattr(C.T, "cohort", lambda *_: None)
+    monkeypatch.setattr(C, "rounded", lambda x: x)
+    monkeypatch.setattr(S, "permute_groups", lambda y, d, n=default, *_: seen.append(n))
+    monkeypatch.setattr(S, "permutation_summary", lambda d, n: seen.append(n))
+    C.permute_groups(None, "")
+    assert default == 5000 and seen == [5000, 5000]
