@@ -355,7 +355,7 @@ def drawn(y: DataFrame, n: int, first: int, weigh: Callable, chunk: int, measure
     sizes = [groups[g] for g in names]
     if not total:
         raise ValueError("no subjects")
-    weigh(first, sizes)  # so that its errors come here
+    weigh(first, [1] * len(sizes))  # so that its errors come here, without a weight for each subject
     low, high = np.triu_indices(size)
     width = len(low) + 2 * size + 1
     several = int(min(max(2**20 // width, 8), 500))  # draws that share a pass over a block

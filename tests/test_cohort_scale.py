@@ -126,3 +126,38 @@ def test_all_permutations_are_made(monkeypatch):
     monkeypatch.setattr(S, "permutation_summary", lambda d, n: seen.append(n))
     C.permute_groups(None, "")
     assert default == 5000 and seen == [5000, 5000]
+
+
+@pytest.fixture
+def made(spark, many, collected, monkeypatch):
+    """query of the catalogue -> most rows collected, most subjects weighed and bytes broadcast on
+    the driver while it is made (no draw runs), for `many` and for twice as many subjects"""
+    import pickle
+
+    from pyspark import SparkContext
+    from pyspark.sql import functions as F
+
+    from netloom.plans import catalogue as C
+
+    weighed, sent, drawn, broadcast = [], [], S.drawn, SparkContext.broadcast
+    monkeypatch.setattr(C, "rounded", lambda x: x)
+    monkeypatch.setattr(S, "drawn", lambda y, n, first, weigh, *rest: drawn(y, n, first, lambda d, sizes: (weighed.append(sum(sizes)), weigh(d, sizes))[1], *rest))
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, v: (sent.append(len(pickle.dumps(v))), broadcast(self, v))[1])
+
+    def run(query):
+        out = []
+        for y in (many, many.union(many.withColumn("sid", F.concat("sid", F.lit("x"))))):
+            for seen in (collected, weighed, sent):
+                seen.clear()
+            monkeypatch.setattr(C.T, "cohort", lambda *_, y=y: y)
+            getattr(C, query)(spark, "")
+            out.append((max(collected), max(weighed, default=0), sum(sent)))
+        return out
+
+    return run
+
+
+def test_boot_global_on_the_driver(made):
+    (rows, weights, sent), (more_rows, more_weights, more_sent) = made("boot_global")
+    assert rows == more_rows < 100 and weights == more_weights < 100
+    assert more_sent < sent + 100
