@@ -161,3 +161,9 @@ def test_boot_global_on_the_driver(made):
     (rows, weights, sent), (more_rows, more_weights, more_sent) = made("boot_global")
     assert rows == more_rows < 100 and weights == more_weights < 100
     assert more_sent < sent + 100
+
+
+def test_permute_vertex_on_the_driver(made):
+    (rows, weights, sent), (more_rows, more_weights, more_sent) = made("permute_vertex")
+    assert rows == more_rows < 100 and weights == more_weights < 100
+    assert more_sent < sent + 100
