@@ -167,3 +167,13 @@ def test_permute_vertex_on_the_driver(made):
     (rows, weights, sent), (more_rows, more_weights, more_sent) = made("permute_vertex")
     assert rows == more_rows < 100 and weights == more_weights < 100
     assert more_sent < sent + 100
+
+
+def test_permute_vertex_collects_no_subjects(spark, many, collected, monkeypatch):
+    """It names no part of the resampling step, so code without these parts fails by the rows."""
+    from netloom.plans import catalogue as C
+
+    monkeypatch.setattr(C, "rounded", lambda x: x)
+    monkeypatch.setattr(C.T, "cohort", lambda *_: many)
+    C.permute_vertex(spark, "")
+    assert collected and max(collected) < 100
